@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .simhash import op10
+from .suffix import op7
 
 QUERIES = {
+    "op7_suffix_dedup": op7,
     "op10_simhash": op10,
 }
 
