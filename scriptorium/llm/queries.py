@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .simhash import op10
 from .suffix import op7
+from .toxicity import op9
 
 QUERIES = {
     "op7_suffix_dedup": op7,
+    "op9_toxicity": op9,
     "op10_simhash": op10,
 }
 
