@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from . import decontaminate
+from .decontaminate import op8
+from .secrets import op4
 from .simhash import op10
 from .suffix import op7
 from .toxicity import op9
 
 QUERIES = {
+    "op4_secrets": op4,
     "op7_suffix_dedup": op7,
+    "op8_decontaminate": op8,
     "op9_toxicity": op9,
     "op10_simhash": op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_decontaminate": decontaminate.ORACLE,
+}
