@@ -6,6 +6,7 @@ from . import decontaminate
 from .decontaminate import op8
 from .embeddings import op3
 from .mixing import op1
+from .pii import op2
 from .secrets import op4
 from .simhash import op10
 from .suffix import op7
@@ -13,6 +14,7 @@ from .toxicity import op9
 
 QUERIES = {
     "op1_mixing": op1,
+    "op2_pii": op2,
     "op3_embedding_dedup": op3,
     "op4_secrets": op4,
     "op7_suffix_dedup": op7,
