@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, lines
 from .decontaminate import op8
 from .embeddings import op3
+from .lines import op6
 from .mixing import op1
 from .pii import op2
 from .secrets import op4
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_pii": op2,
     "op3_embedding_dedup": op3,
     "op4_secrets": op4,
+    "op6_line_dedup": op6,
     "op7_suffix_dedup": op7,
     "op8_decontaminate": op8,
     "op9_toxicity": op9,
@@ -24,5 +26,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_line_dedup": lines.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
 }
