@@ -7,6 +7,7 @@ from .decontaminate import op8
 from .embeddings import op3
 from .lines import op6
 from .mixing import op1
+from .paragraphs import op5
 from .pii import op2
 from .secrets import op4
 from .simhash import op10
@@ -18,6 +19,7 @@ QUERIES = {
     "op2_pii": op2,
     "op3_embedding_dedup": op3,
     "op4_secrets": op4,
+    "op5_paragraph_minhash": op5,
     "op6_line_dedup": op6,
     "op7_suffix_dedup": op7,
     "op8_decontaminate": op8,
@@ -26,6 +28,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_paragraph_minhash": op5,
     "op6_line_dedup": lines.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
 }
