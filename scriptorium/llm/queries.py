@@ -28,7 +28,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
-    "op5_paragraph_minhash": op5,
     "op6_line_dedup": lines.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
 }
