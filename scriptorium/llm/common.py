@@ -9,7 +9,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word separators of every operator here: space and the ASCII controls TAB to CR.
@@ -88,3 +88,14 @@ def keyed(df: DataFrame, *keep: str) -> DataFrame:
 def own_id(col: str = "_k"):
     """doc_id again from ``_k``."""
     return F.when(F.col(col) != NO_ID, F.col(col)).alias("doc_id")
+
+
+def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns renamed, and the new name of each: none clashes with an operator's own."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[docs[f"`{c}`"].alias(n) for c, n in names.items()]), names
+
+
+def put_back(names: dict[str, str]) -> list[Column]:
+    """The columns that ``set_aside`` renamed, under their own names."""
+    return [F.col(n).alias(c) for c, n in names.items()]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, documents
+from .common import arrow_limits, documents, put_back, set_aside
 
 WORDS, CONTAINMENT = 5, 0.8
 BLOCK_SHINGLES = 1 << 20
@@ -185,6 +185,37 @@ def _scan(shared):
     return each
 
 
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs without the rows that some item leaks into, each judged by its own text: documents
+    pass one block of items after the other and are neither shuffled nor joined."""
+    spark = docs.sparkSession
+    arrow_limits(spark, 4)
+    out, names = set_aside(docs)
+    text = names["text"]
+    out = out.withColumn(text, F.col(text).cast("string"))
+    for b in item_blocks(items):
+        out = out.mapInArrow(_keep(spark.sparkContext.broadcast(b), text), out.schema)
+    return out.select(*put_back(names))
+
+
+def _keep(shared, text: str):
+    """The rows of documents that no item of one broadcast block leaks into."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
+        for b in batches:
+            block = block or Block(shared.value)
+            texts = [t or b"" for t in b.column(text).cast(pa.binary()).to_pylist()]
+            fine = np.ones(len(texts), bool)
+            for part, first in _parts(texts):
+                doc, h = _shingles(part)
+                if len(h):
+                    fine[[first + d for d, _, _ in block.leaks(doc, h)]] = False
+            yield b.filter(pa.array(fine))
+
+    return each
+
+
 def _parts(texts: list[bytes]) -> Iterator[tuple[list[bytes], int]]:
     """Runs of texts of about PIECE bytes, and each run's first index."""
     first, size = 0, 0
@@ -233,9 +264,4 @@ HAVING count(*) >= 0.8 * n_shingles
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that some benchmark item leaks into."""
-    from .common import Tables
-
-    found = contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    # Leaking ids only; a row without an id can't be named by one and is judged on its own.
-    bad = Tables(spark).write(found.select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti").select(*docs.columns)
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

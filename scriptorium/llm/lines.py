@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Tables, arrow_limits, documents, keyed
+from .common import NO_ID, Tables, arrow_limits, documents, keyed, put_back, set_aside
 from .suffix import MIX, U, _later, mixed
 
 RUN = 3
@@ -116,17 +116,20 @@ def _kept_rows(text: pd.Series, starts: pd.Series) -> pd.DataFrame:
 
 
 def dedup_lines(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
-    """docs with ``text`` deduped and ``_lines``, a struct of text, n_lines and n_removed."""
+    """docs with ``text`` deduped and counts n_lines and n_removed added, which replace columns
+    of these names."""
     tables = tables or Tables(docs.sparkSession)
-    runs = tables.write(repeated_runs(docs, tables)).withColumnRenamed("_k", "_run_of")
+    runs = tables.write(repeated_runs(docs, tables))
     cut = F.pandas_udf(_kept_rows, "text string, n_lines long, n_removed long")
-    joined = docs.join(runs, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == runs["_run_of"], "left")
-    return joined.withColumn("_lines", cut(docs["text"].cast("string"), F.col("starts")))
+    plain, names = set_aside(docs.drop("n_lines", "n_removed"))
+    joined = plain.join(runs, F.coalesce(F.col(names["doc_id"]).cast("long"), F.lit(NO_ID)) == F.col("_k"), "left")
+    out = joined.withColumn("new", cut(F.col(names["text"]).cast("string"), F.col("starts")))
+    return out.select(*put_back(names | {"text": "new.text"}), "new.n_lines", "new.n_removed")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_lines, n_removed, text) of every document."""
-    return dedup_lines(documents(spark, sf_dir)).select("doc_id", "_lines.n_lines", "_lines.n_removed", "_lines.text")
+    return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
 
 
 ORACLE = r"""
@@ -153,6 +156,8 @@ FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without their later repeated runs of lines; n_chars follows the text."""
-    out = dedup_lines(docs)
-    new = {"text": F.col("_lines.text"), "n_chars": F.length("_lines.text").cast("long")}
-    return out.select(*[new[c].alias(c) if c in new else docs[f"`{c}`"] for c in docs.columns])
+    plain, names = set_aside(docs)
+    own = {names["doc_id"]: "doc_id", names["text"]: "text"}
+    out = dedup_lines(plain.withColumnsRenamed(own))
+    size = {"n_chars": F.length("text").cast("long").alias("n_chars")}
+    return out.select(*[size.get(c, F.col(own.get(n, n)).alias(c)) for c, n in names.items()])

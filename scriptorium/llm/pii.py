@@ -14,8 +14,7 @@ and b, so no cycle walking is needed.
 All of it is column expressions: texts without a digit and without an @ pass untouched,
 others are cut at their matches and put together again. One row out for each row in, with no
 shuffle. Null texts stay null with zero counts; empty texts stay empty; a null doc_id stays
-null; repeated rows repeat their result. Extra columns are kept in front of the counts where
-``pseudonymize`` is called for a whole table.
+null; repeated rows repeat their result. Extra columns are kept in front of the counts.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, set_aside
 
 #: The key of the registered query; others pass their own.
 KEY = "example key, replace in production"
@@ -186,7 +185,6 @@ def pseudonymize(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFra
     """docs with ``text`` pseudonymized (or turned back) and counts n_<kind> (long) added;
     count columns of the same names in docs are replaced."""
     counts = [f"n_{k}" for k in KINDS]
-    text = F.col("text").cast("string")
 
     def replaced(m: Column) -> Column:
         """struct(kind, new): kind is null where the check fails."""
@@ -200,16 +198,17 @@ def pseudonymize(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFra
         )
         return F.element_at(F.transform(F.array(kind), pick), 1)
 
-    own = [c for c in docs.columns if c.lower() not in counts]
+    plain, names = set_aside(docs.drop(*counts))
+    text = F.col(names["text"]).cast("string")
     hint = text.rlike("[0-9@]")
-    found = docs.select(*own, F.when(hint, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("_found"))
+    found = plain.select("*", F.when(hint, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("_found"))
     found = found.withColumn("_found", F.when(F.size("_found") > 0, F.transform("_found", replaced)))
     gaps = F.split(text, ANY, -1)
     whole = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size("_found")), F.col("_found"), lambda g, f: F.concat(g, f.new)), ""), F.element_at(gaps, -1))
     new = F.when(F.col("_found").isNull(), text).otherwise(whole)
     n = lambda k: F.coalesce(F.size(F.filter("_found", lambda f: f.kind == k)), F.lit(0))
     return found.select(
-        *[new.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in own],
+        *[new.alias(c) if c == "text" else F.col(n).alias(c) for c, n in names.items()],
         *[F.when(F.col("_found").isNull(), F.lit(0)).otherwise(n(k)).cast("long").alias(f"n_{k}") for k in KINDS],
     )
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Tables, arrow_limits, documents, keyed, own_id
+from .common import NO_ID, Tables, arrow_limits, documents, keyed, own_id, put_back, set_aside
 from .components import connected_components
 
 SEED, SHINGLE, BITS, BUDGET = 42, 3, 64, 2
@@ -231,5 +231,6 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     tables = Tables(spark)
     found = near_duplicates(docs.select("doc_id", "text"), tables)
     gone = tables.write(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_k")).distinct())
-    rest = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(gone, "_k", "left_anti")
-    return rest.dropDuplicates(["_k"]).select(*docs.columns)
+    plain, names = set_aside(docs)
+    rest = plain.withColumn("_k", F.coalesce(F.col(names["doc_id"]).cast("long"), F.lit(NO_ID))).join(gone, "_k", "left_anti")
+    return rest.dropDuplicates(["_k"]).select(*put_back(names))

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, documents
+from .common import arrow_limits, documents, put_back, set_aside
 
 GRAMS = (3, 4, 5, 6)
 BUCKETS, DIM = 1 << 18, 8
@@ -107,7 +107,8 @@ class Model:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         total, count = bag_sums(texts, self.weight)
-        return 1 / (1 + np.exp(-np.clip(total / (count + PRIOR) + self.bias, -500, 500)))
+        with np.errstate(over="ignore"):
+            return 1 / (1 + np.exp(-(total / (count + PRIOR) + self.bias)))
 
 
 def train(texts: list[str], labels: np.ndarray, share: float, seed: int = 0) -> Model:
@@ -195,14 +196,19 @@ def fit_model(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (any columns) with ``score`` and ``predicted``."""
+    """docs (any columns) with ``score`` and ``predicted``, which replace columns of these names."""
+    out, names = _scored(docs.drop("score", "predicted"), model)
+    return out.select(*put_back(names), "score", "predicted")
+
+
+def _scored(docs: DataFrame, model: Model) -> tuple[DataFrame, dict[str, str]]:
     spark = docs.sparkSession
     arrow_limits(spark, 4)
     shared = spark.sparkContext.broadcast((model.weight, model.bias))
-    own = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
-    names = [f"c{i}" for i in range(len(own))]  # clashing or odd names are kept out of the way
-    plain = docs.select(*[docs[f"`{c}`"].alias(n) for c, n in zip(own, names)], docs["text"].cast("string").alias("_text"))
+    plain, renamed = set_aside(docs)
+    names = list(renamed.values())
     kinds = ", ".join(f"{n} {plain.schema[n].dataType.simpleString()}" for n in names)
+    plain = plain.withColumn("_text", F.col(renamed["text"]).cast("string"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = Model(*shared.value)
@@ -211,8 +217,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             cols = [b.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*names, "score", "predicted"])
 
-    out = plain.mapInArrow(each, f"{kinds}, score double, predicted int")
-    return out.select(*[F.col(n).alias(c) for c, n in zip(own, names)], "score", "predicted")
+    return plain.mapInArrow(each, f"{kinds}, score double, predicted int"), renamed
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,4 +231,5 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that are predicted toxic."""
     model = fit_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).where("predicted = 0").select(*docs.columns)
+    out, names = _scored(docs, model)
+    return out.where("predicted = 0").select(*put_back(names))
