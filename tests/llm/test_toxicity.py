@@ -68,7 +68,7 @@ def test_awkward(spark, awkward, clashing, empty, tiny):
     assert out.count() == clashing.count() and toxicity.score(empty, model).collect() == []
     assert out.where("score is null").count() == 0
     assert toxicity.fit_model(empty, labels).scores(pa.array(["a"]))[0] == 0
-    assert toxicity.fit_model(awkward, labels.limit(0)).scores(pa.array([None]))[0] == 0
+    assert toxicity.fit_model(awkward, labels.limit(0)).scores(pa.array([None], pa.string()))[0] == 0
     kept = toxicity.toxicity_stage(spark, clashing, tiny)
     assert kept.columns == clashing.columns and kept.select("score").distinct().collect()[0][0] == 4
 
