@@ -122,7 +122,8 @@ def dedup_lines(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
     runs = tables.write(repeated_runs(docs, tables))
     cut = F.pandas_udf(_kept_rows, "text string, n_lines long, n_removed long")
     plain, names = set_aside(docs.drop("n_lines", "n_removed"))
-    joined = plain.join(runs, F.coalesce(F.col(names["doc_id"]).cast("long"), F.lit(NO_ID)) == F.col("_k"), "left")
+    # The same plan at every size: the runs grow with the documents.
+    joined = plain.join(runs.hint("merge"), F.coalesce(F.col(names["doc_id"]).cast("long"), F.lit(NO_ID)) == F.col("_k"), "left")
     out = joined.withColumn("new", cut(F.col(names["text"]).cast("string"), F.col("starts")))
     return out.select(*put_back(names | {"text": "new.text"}), "new.n_lines", "new.n_removed")
 
