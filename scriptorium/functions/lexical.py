@@ -26,6 +26,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once a row, however often it is used inside lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def words(text: Column | str) -> Column:
     return F.regexp_extract_all(col(text), F.lit(WORDS), F.lit(0))
 
@@ -103,10 +108,12 @@ def without_stopwords(tokens: Column | str) -> Column:
 
 def ngrams(tokens: Column | str, n: int) -> Column:
     """All runs of n tokens joined by a space; fewer tokens have none."""
-    w = col(tokens)
-    return F.when(
-        F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
-    ).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    return runs(tokens) if isinstance(tokens, Column) else runs(F.col(tokens))
 
 
 def previous_word(text: Column | str) -> Column:
@@ -156,23 +163,31 @@ LANGUAGE_WORDS = {
 }
 
 
+def common_words(tokens: Column, language: str) -> Column:
+    return F.size(F.filter(tokens, lambda w: w.isin(*LANGUAGE_WORDS[language].split())))
+
+
 def language(text: Column | str) -> Column:
     """The language with most common words, null where none has any; first of equals."""
-    tokens = words(F.lower(col(text)))
-    hits = {k: F.size(F.filter(tokens, lambda w, v=v: w.isin(*v.split()))) for k, v in LANGUAGE_WORDS.items()}
-    best = F.greatest(*hits.values())
-    out = F.lit(None).cast("string")
-    for k in reversed(LANGUAGE_WORDS):
-        out = F.when(hits[k] == best, k).otherwise(out)
-    return F.when(best > 0, out)
+
+
+    def named(hits: Column) -> Column:
+        best, out = F.array_max(hits), F.lit(None).cast("string")
+        for i, k in reversed(list(enumerate(LANGUAGE_WORDS))):
+            out = F.when(hits[i] == best, k).otherwise(out)
+        return F.when(best > 0, out)
+
+    return bound(words(F.lower(col(text))), lambda tokens: bound(F.array(*[common_words(tokens, k) for k in LANGUAGE_WORDS]), named))
 
 
 def invalid_for_english(text: Column | str) -> Column:
     """Not Latin script, or plainly of another language (an approximation by common words)."""
-    tokens = words(F.lower(col(text)))
-    count = lambda k: F.size(F.filter(tokens, lambda w: w.isin(*LANGUAGE_WORDS[k].split())))
-    foreign = F.greatest(*[count(k) for k in LANGUAGE_WORDS if k != "en"])
-    return ~is_latin(text) | (foreign >= 3) & (foreign > 3 * count("en"))
+
+    def foreign(tokens: Column) -> Column:
+        most = F.greatest(*[common_words(tokens, k) for k in LANGUAGE_WORDS if k != "en"])
+        return (most >= 3) & (most > 3 * common_words(tokens, "en"))
+
+    return ~is_latin(text) | bound(words(F.lower(col(text))), foreign)
 
 
 def content_path(label: Column | str, text: Column | str) -> Column:

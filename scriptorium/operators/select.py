@@ -223,7 +223,7 @@ def items(docs: DataFrame, kind: str = "extended", parameters: Parameters = LATE
             prev = next((b for b in reversed(before) if not b.is_text), None)
             prev_text = before[-1].text if before and before[-1].is_text else None
             heading = flatten(prev, parameters).plaintext if prev is not None and prev.name.startswith("h") else None
-            math = [lexemes(m) for m in n.walk() if m.name == "math"]
+            math = [lexemes(flat.back[m.start()][0]) for m in re.finditer("mathformula", flat.plaintext)] if flat.back else []
             yield (doc_id, seq, name, n.id, n.class_attr, n.parent.class_attr if n.parent is not None else "", prev.name if prev is not None else None, heading, prev_text, theorems, flat.plaintext, math)
 
     return docs.select("doc_id", "html").mapInPandas(lambda b: _rows(b, each, _names(ITEMS)), ITEMS)
