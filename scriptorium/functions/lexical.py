@@ -113,7 +113,7 @@ def ngrams(tokens: Column | str, n: int) -> Column:
         grams = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
         return F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>"))
 
-    return runs(tokens) if isinstance(tokens, Column) else runs(F.col(tokens))
+    return bound(col(tokens), runs)
 
 
 def previous_word(text: Column | str) -> Column:

@@ -131,14 +131,13 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
 SPANS = "array<struct<start:int,end:int>>"
 
 
-@F.pandas_udf(SPANS)
 def _spans(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"start": a, "end": b} for a, b in sentence_spans(t)])
 
 
 def sentences(text: Column | str) -> Column:
     """array of (start, end) of a text's sentences."""
-    return _spans(col(text))
+    return F.pandas_udf(_spans, SPANS)(col(text))
 
 
 def sentence_rows(items: DataFrame, text: str = "plaintext", *keep: str) -> DataFrame:

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -390,7 +389,6 @@ def phrase_ends(tree: Phrase | None, at: int, label: str) -> list[int]:
     return ends[::-1]
 
 
-@lru_cache(maxsize=16)
 def load(source: str, compat: bool = False, deep: bool = False) -> PatternFile:
     """A compiled pattern file; ValueError says what is wrong with it."""
     return PatternFile(source, compat, deep)

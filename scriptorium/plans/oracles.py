@@ -123,8 +123,10 @@ def by_queries(headings: list[tuple[str, str]], classes: list[tuple[str, str]],
         f"p AS (SELECT doc_id, i, w[i] AS word, CASE WHEN w[i] = '{anchor}' THEN i END AS a FROM t, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)), "
         "near AS (SELECT doc_id, i, word, max(a) OVER (PARTITION BY doc_id ORDER BY i) AS before, min(a) OVER (PARTITION BY doc_id ORDER BY i DESC) AS after FROM p), "
         f"kept AS (SELECT *, coalesce(i - before <= {reach}, false) OR coalesce(after - i <= {reach}, false) AS ok FROM near), "
-        "pairs AS (SELECT word || ' ' || lead(word) OVER w AS ngram, ok AND lead(ok) OVER w AS both FROM kept WINDOW w AS (PARTITION BY doc_id ORDER BY i)) "
-        "SELECT ngram, count(*) AS frequency FROM pairs WHERE both GROUP BY ngram",
+        "pairs AS (SELECT word || ' ' || lead(word) OVER w AS ngram, ok AND lead(ok) OVER w AS inside FROM kept WINDOW w AS (PARTITION BY doc_id ORDER BY i)) "
+        "SELECT ngram, count(*) AS frequency FROM pairs WHERE inside GROUP BY ngram",
+        "pre_link_words": "WITH parts AS (SELECT string_split(text, ' of ') AS p FROM documents), t AS (SELECT unnest(p[1:len(p) - 1]) AS x FROM parts), "
+        f"w AS (SELECT lower(regexp_extract(regexp_replace(x, '[{SPACES}]+$', ''), '([{ALNUM}]+)$', 1)) AS word FROM t) SELECT word, count(*) AS frequency FROM w WHERE word <> '' GROUP BY word",
         "paragraph_dedup_sha": f"WITH {LINES} SELECT sha256(line) AS sha256, count(*) AS copies FROM lines GROUP BY 1",
         "whitespace_norm": f"SELECT doc_id, regexp_replace(regexp_replace(text, '[{SPACES}]+', ' ', 'g'), '^ ', '') AS text FROM documents",
         "unicode_translit": f"SELECT doc_id, {translit('text')} AS text FROM documents",

@@ -15,6 +15,7 @@ from ..functions.tagger import tag
 from ..operators import ngrams as grams
 from ..operators.patterns import match_documents
 from ..operators.select import items, lifted
+from ..sources.readers import escaped
 from ..sources.sinks import log_scatter
 from ..streaming import catalog as stream
 from . import oracles, programs
@@ -25,9 +26,9 @@ QUERIES: dict[str, Query] = {}
 ANCHOR, REACH = "the", 3
 #: Headings and environments with their labels; every kind of rule once.
 HEADINGS = [
-    ("introduction ", "introduction"), ("NUM introduction and motivation ", "introduction"), ("definition xiii a ", "definition"), ("theorems of ", "theorem"),
-    ("proof of lemma NUM ", "proof"), ("the main results ", "other"), ("summary of results ", "result"), ("bibliography ", "other"), ("keywords ", "other"), ("prior work ", "related work"),
-    ("acknowledgments ", "acknowledgement"), ("exercises ", "problem"), ("concluding remarks ", "conclusion"), ("numerical experiment ", "experiment"), ("appendix ", "other"),
+    ("introduction ", "introduction"), ("introduction and motivation ", "introduction"), ("definition xiii a ", "definition"), ("theorems of ", "theorem"),
+    ("proof of lemma NUM ", "proof"), ("the main results ", "result"), ("summary of results ", "result"), ("bibliography ", "other"), ("keywords ", "other"), ("prior work ", "related work"),
+    ("acknowledgments ", "acknowledgement"), ("exercises ", "problem"), ("concluding remarks ", "remark"), ("numerical experiment ", "experiment"), ("appendix ", "other"),
     ("future directions ", "future work"), ("hypothesis ", "conjecture"), ("a new method ", "methods"), ("lemme ", "other"), ("", "other"), ("outline of the proof ", "proof"),
 ]
 CLASSES = [
@@ -37,6 +38,7 @@ CLASSES = [
     ("ltx_theorem ltx_theorem_mythm", "theorem"), ("ltx_theorem ltx_theorem_lemmas", "lemma"), ("ltx_theorem ltx_theorem_unknownxyz", "other"), ("ltx_proof", "proof"),
     ("x ltx_proof", None), ("", None), ("ltx_para", None), ("ltx_theorem ltx_theorem_notation", "notation"), ("ltx_theorem ltx_theorem_ques", "question"),
 ]
+TITLES = ("Introduction", "Proof of Lemma 2", "Definitions", "Main results", "On the sea")
 #: A small program: "the X of the Y" and a noun phrase before "is".
 PATTERNS = """<patterns>
   <pos_rule name="noun"><pos_or><pos tag="NN"/><pos tag="NNS"/><pos tag="NNP"/></pos_or></pos_rule>
@@ -215,12 +217,10 @@ def lifted_token_model(spark, sf_dir):
 
 @query
 def statement_paragraphs(spark, sf_dir):
-    """Statements of documents whose first line is taken for a heading and every later one for a paragraph."""
-    body = F.split(F.col("text"), "\n")
-    head = F.concat(F.lit('<h2 class="ltx_title">'), F.element_at(body, 1), F.lit("</h2>"))
-    rest = F.array_join(F.transform(F.slice(body, 2, F.greatest(F.lit(0), F.size(body) - 1)), lambda x: F.concat(F.lit('<div class="ltx_para"><p class="ltx_p">'), x, F.lit("</p></div>"))), "")
-    safe = documents(spark, sf_dir).where("text is not null").withColumn("text", F.regexp_replace("text", "[<>&]", " "))
-    return programs.statements(items(safe.select("doc_id", F.concat(head, rest).alias("html"))))
+    """Statements of documents with a heading by their id before their lines, each line a paragraph."""
+    head = F.element_at(F.array(*map(F.lit, TITLES)), (F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(len(TITLES))) + 1).cast("int"))
+    titled = lifted(documents(spark, sf_dir)).withColumn("html", F.concat(F.lit('<h2 class="ltx_title">'), head, F.lit("</h2>"), F.regexp_replace("html", "</?(?:html|body)>", "")))
+    return programs.statements(items(titled))
 
 
 @query
@@ -250,7 +250,9 @@ def count_histogram(spark, sf_dir):
 
 @query
 def pre_link_words(spark, sf_dir):
-    return programs.words_before(items(pages(spark, sf_dir), "generic_reference"))
+    """Words before links; every "of" between spaces is made one."""
+    linked = F.replace(escaped("text"), F.lit(" of "), F.lit(' <a href="#">of</a> '))
+    return programs.words_before(items(documents(spark, sf_dir).select("doc_id", linked.alias("html")), "generic_reference"))
 
 
 @query
