@@ -24,7 +24,7 @@ def _restored(stem: str) -> str:
     """A stem as its base form: doubled consonants and silent e."""
     if len(stem) > 2 and stem[-1] == stem[-2] and stem[-1] not in "aeiouylsz":
         return stem[:-1]
-    if re.search(r"(?:[^aeiou][aeiou](?:[kmtvz]|gg)|at|iz|[iu]s|[aeiou]r|v|c|u|[^aeiou]l|dg)$", stem) and not re.search(r"(?:er|or|en|et|it|ou.|ea.|oo.|ee.|ai.)$", stem):
+    if re.search(r"(?:[^aeiou][aeiou](?:[kmtvz]|gg)|at|iz|[iu]s|[aeiou]r|v|c|u|[^aeiou]i?l|dg)$", stem) and not re.search(r"(?:er|or|en|et|it|ou.|ea.|oo.|ee.|ai.)$", stem):
         return stem + "e"
     return stem
 

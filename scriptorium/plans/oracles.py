@@ -116,7 +116,7 @@ def by_queries(headings: list[tuple[str, str]], classes: list[tuple[str, str]],
         "dictionary_first_index": WORDS + f", {FIRST} SELECT word, first_index FROM firsts",
         "inorder_frequency": WORDS + f", {FIRST} SELECT word, first_index, frequency FROM firsts",
         "freq_of_freq": WORDS + "SELECT frequency, count(*) AS words FROM (SELECT count(*) AS frequency FROM words GROUP BY word) GROUP BY frequency",
-        "frequency_scatter": WORDS + "SELECT frequency AS x, log2(count(*)) AS log2_y FROM (SELECT count(*) AS frequency FROM words GROUP BY word) GROUP BY frequency",
+        "frequency_scatter": WORDS + "SELECT frequency AS x, round(log2(count(*)), 6) AS log2_y FROM (SELECT count(*) AS frequency FROM words GROUP BY word) GROUP BY frequency",
         "bigram_counts": gram(2),
         "fourgram_counts": gram(4),
         "anchored_ngrams_window": "WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\f\\r]+'), lambda x: regexp_matches(x, '^[\\p{L}\\p{N}]')) AS w FROM documents), "

@@ -150,7 +150,7 @@ def freq_of_freq(spark, sf_dir):
 
 @query
 def frequency_scatter(spark, sf_dir):
-    return log_scatter(freq_of_freq(spark, sf_dir), "frequency", "words")
+    return log_scatter(freq_of_freq(spark, sf_dir), "frequency", "words").withColumn("log2_y", F.round("log2_y", 6))
 
 
 @query
