@@ -15,7 +15,7 @@ from ..functions.tagger import tag
 from ..operators import ngrams as grams
 from ..operators.patterns import match_documents
 from ..operators.select import items, lifted
-from ..sources.readers import escaped
+from ..sources.readers import escaped, spread
 from ..sources.sinks import log_scatter
 from ..streaming import catalog as stream
 from . import oracles, programs
@@ -58,16 +58,16 @@ def query(f: Query) -> Query:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), "html")
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), "html"))
 
 
-def corpus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, pos, word) of the lower-cased words of documents."""
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(words(F.lower("text"))).alias("pos", "word"))
+def first_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, pos, word) of each document's distinct words in the order of their first places."""
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(F.array_distinct(words(F.lower("text")))).alias("pos", "word"))
 
 
 def bare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,13 +134,12 @@ def conversation_token_model(spark, sf_dir):
 
 @query
 def dictionary_first_index(spark, sf_dir):
-    return grams.dictionary(corpus_words(spark, sf_dir))
+    return grams.dictionary(first_words(spark, sf_dir))
 
 
 @query
 def inorder_frequency(spark, sf_dir):
-    found = corpus_words(spark, sf_dir)
-    return grams.dictionary(found).join(grams.counts(found, "word"), "word")
+    return grams.dictionary(first_words(spark, sf_dir)).join(unigram_counts(spark, sf_dir), "word")
 
 
 @query

@@ -23,6 +23,13 @@ def read_corpus(spark: SparkSession, path: str, extension: str | None = None) ->
     return files.where(wanted).select(name.alias("path"), F.xxhash64(name).alias("doc_id"), F.col("value").alias("html"))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs dealt over all cores where their files have fewer splits than there are cores, as one
+    small file has; larger inputs are left as they are scanned."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def checked(docs: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     """docs (path, html, ...) with ``_error`` where strict XML cannot be read (null: fine). FAILFAST
     raises instead, DROPMALFORMED drops such rows."""
