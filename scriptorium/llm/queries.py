@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines
+from . import decontaminate, embeddings, lines, secrets, suffix
 from .decontaminate import op8
 from .embeddings import op3
 from .lines import op6
@@ -28,6 +28,9 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_embedding_dedup": embeddings.ORACLE,
+    "op4_secrets": secrets.ORACLE,
     "op6_line_dedup": lines.ORACLE,
+    "op7_suffix_dedup": suffix.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
 }

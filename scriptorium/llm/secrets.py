@@ -89,3 +89,31 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
     count = lambda kind: F.size(F.filter(spans, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
     return found.select(own_id(), *map(count, KINDS), F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
+
+
+#: The rules again, as RE2 reads them; letters of the first in either case.
+SQL_RULES = (
+    ("assign", """([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+)
+
+
+def _oracle() -> str:
+    """Matches and the gaps between them give each match its place."""
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS k, '{kind}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS m, unnest(regexp_extract_all(text, '{p}', {group})) AS part, "
+        f"unnest(regexp_split_to_array(text, '{p}')[1:-2]) AS gap, generate_subscripts(regexp_extract_all(text, '{p}'), 1) AS i, {least} AS least FROM d"
+        for k, (kind, p, group, least) in enumerate(SQL_RULES)
+    )
+    counts = ", ".join(f"count(*) FILTER (WHERE k = {k}) AS n_{kind}" for k, kind in enumerate(KINDS))
+    return (
+        f"WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), found AS ({found}), "
+        "placed AS (SELECT *, sum(length(gap)) OVER w + sum(length(m)) OVER w - length(m) AS s FROM found WINDOW w AS (PARTITION BY doc_id, k ORDER BY i)), "
+        "kept AS (SELECT doc_id, k, kind, s, s + length(m) AS e FROM placed WHERE length(part) >= least), "
+        f"l AS (SELECT doc_id, {counts}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM kept GROUP BY doc_id) "
+        f"SELECT d.doc_id, {', '.join(f'coalesce(n_{kind}, 0) AS n_{kind}' for kind in KINDS)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN l USING (doc_id)"
+    )
+
+
+ORACLE = _oracle()

@@ -260,3 +260,19 @@ def with_runs(docs: DataFrame, tables: Tables) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = with_runs(documents(spark, sf_dir), Tables(spark)).mapInArrow(_digest_rows, RESULT)
     return found.select(own_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+ORACLE = """
+WITH t AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+p AS (SELECT doc_id, c, substr(h, 1024 * c + 1, 1222) AS h FROM t, LATERAL (SELECT unnest(range(0, (length(h) // 2 - 100) // 512 + 1)) AS c) WHERE length(h) >= 200),
+w AS (SELECT doc_id, 512 * c + i AS i, md5(substr(h, 2 * i + 1, 200)) AS k FROM p, LATERAL (SELECT unnest(range(0, length(h) // 2 - 99)) AS i)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM w) WHERE r > 1),
+ends AS (SELECT doc_id, i, coalesce(i > max(i + 100) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM later),
+runs AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM ends),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY 1, 2),
+edges AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+cut AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS last, sum(b - a) AS n_removed, count(*) AS n_spans FROM edges JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT t.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM t LEFT JOIN cut USING (doc_id)
+"""
