@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -394,6 +395,11 @@ def load(source: str, compat: bool = False, deep: bool = False) -> PatternFile:
     return PatternFile(source, compat, deep)
 
 
+def load_file(path: str, compat: bool = False, deep: bool = False) -> PatternFile:
+    """A compiled pattern file from the driver's disk."""
+    return load(Path(path).read_text(encoding="utf-8"), compat, deep)
+
+
 def parsed_sentence(flat: Flat, start: int, end: int, tagger: Callable = tag, chunker: Callable = chunks) -> Parsed:
     """A sentence of a flattened document with tags and phrases."""
     found = tagger(flat.plaintext[start:end])
