@@ -8,6 +8,7 @@ from scriptorium.llm.common import Tables, documents
 from scriptorium.llm.decontaminate import decontaminate_stage
 from scriptorium.llm.lines import lines_stage
 from scriptorium.llm.mixing import mixing_stage
+from scriptorium.llm.similar import similar_documents
 from scriptorium.llm.simhash import near_duplicates_stage
 from scriptorium.llm.toxicity import toxicity_stage
 
@@ -24,7 +25,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each group of near-duplicates."""
-    return near_duplicates_stage(spark, docs, sf_dir)
+    return near_duplicates_stage(spark, docs, sf_dir, similar_documents)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,8 @@ SIMILARITY = 0.8
 PARAGRAPH_WORDS, BANDS, ROWS = 20, 12, 3
 REACH, PASSAGE_WORDS = 5, 16
 BLOCK = 256
+#: Shingles that are compared at once.
+CHUNK = 1 << 20
 _rng = np.random.default_rng(12)
 FACTORS = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * U(2) + U(1)
 POSITION = U(0x9E3779B97F4A7C15)
@@ -70,13 +72,8 @@ def _sequence_hash(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.nda
     return mixed(total + size.astype(U))
 
 
-def paragraphs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of each paragraph its text, first word in the text, words, class and bands."""
-    h, of, line, _ = _words(texts)
-    first = _runs(line)
-    size = np.diff(np.r_[first, len(h)])
-    first, size = first[size >= PARAGRAPH_WORDS], size[size >= PARAGRAPH_WORDS]
-    word0 = np.searchsorted(of, np.arange(len(texts)))
+def band_keys(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bands of each run of words, which has WORDS of them or more."""
     bands = np.zeros((len(first), BANDS), U)
     if len(first):
         s = shingle_hashes(h)
@@ -90,7 +87,17 @@ def paragraphs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
                 x = own * f
                 key = mixed(key + np.minimum.reduceat(x ^ (x >> U(32)), cut))
             bands[:, band] = key
-    return of[first], first - word0[of[first]], size, _sequence_hash(h, first, size), bands
+    return bands
+
+
+def paragraphs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of each paragraph its text, first word in the text, words, class and bands."""
+    h, of, line, _ = _words(texts)
+    first = _runs(line)
+    size = np.diff(np.r_[first, len(h)])
+    first, size = first[size >= PARAGRAPH_WORDS], size[size >= PARAGRAPH_WORDS]
+    word0 = np.searchsorted(of, np.arange(len(texts)))
+    return of[first], first - word0[of[first]], size, _sequence_hash(h, first, size), band_keys(h, first, size)
 
 
 def pieces(texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -149,15 +156,17 @@ def jaccard(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The similarity of sets i and j, pair by pair."""
     size = np.array([len(s) for s in sets])
     out = np.zeros(len(i))
-    for at in range(0, len(i), 4096):
-        a, b = i[at : at + 4096], j[at : at + 4096]
+    # Some pairs at a time, by their shingles: long texts have many.
+    part = np.cumsum(size[i] + size[j]) // CHUNK
+    for lo, hi in zip(_runs(part).tolist(), [*_runs(part)[1:].tolist(), len(i)]):
+        a, b = i[lo:hi], j[lo:hi]
         both = np.concatenate([x for p, q in zip(a.tolist(), b.tolist()) for x in (sets[p], sets[q])])
         pair = np.repeat(np.arange(len(a)), size[a] + size[b])
         order = np.lexsort((both, pair))
         both, pair = both[order], pair[order]
         twice = np.flatnonzero((both[1:] == both[:-1]) & (pair[1:] == pair[:-1]))
         shared = np.bincount(pair[twice], minlength=len(a))
-        out[at : at + 4096] = shared / (size[a] + size[b] - shared)
+        out[lo:hi] = shared / (size[a] + size[b] - shared)
     return out
 
 

@@ -226,10 +226,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without all but the first document of each group. Of rows with one doc_id one stays."""
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, find=near_duplicates) -> DataFrame:
+    """docs without all but the first document of each group that ``find`` names by its
+    component_id. Of rows with one doc_id one stays."""
     tables = Tables(spark)
-    found = near_duplicates(docs.select("doc_id", "text"), tables)
+    found = find(docs.select("doc_id", "text"), tables)
     gone = tables.write(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_k")).distinct())
     plain, names = set_aside(docs)
     rest = plain.withColumn("_k", F.coalesce(F.col(names["doc_id"]).cast("long"), F.lit(NO_ID))).join(gone, "_k", "left_anti")
