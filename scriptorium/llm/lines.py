@@ -31,6 +31,8 @@ from .common import NO_ID, Tables, arrow_limits, documents, keyed, put_back, set
 from .suffix import MIX, U, _later, mixed
 
 RUN = 3
+#: Words of a run of fewer lines that the stage counts.
+LONG_WORDS = 20
 FINGERPRINTS = "_k long, s int, f long, w array<long>, later array<boolean>"
 
 
@@ -80,7 +82,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def repeated_runs(docs: DataFrame, tables: Tables) -> DataFrame:
-    """(_k, starts): the starts of a document's windows that also start earlier."""
+    """(_k, s): the starts of a document's windows that also start earlier."""
     arrow_limits(docs.sparkSession)
     rows = tables.write(keyed(docs, F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, FINGERPRINTS))
     shared = tables.write(rows.groupBy("f").agg(F.min("_k").alias("k0"), F.max("_k").alias("k1")).where("k0 < k1").select("f"))
@@ -92,11 +94,42 @@ def repeated_runs(docs: DataFrame, tables: Tables) -> DataFrame:
     )
     first = tables.write(open_.groupBy("f", "w").agg(F.min("_k").alias("k0"), F.max("_k").alias("k1")).where("k0 < k1").select("f", "w", "k0"))
     later = open_.join(first, ["f", "w"]).where("_k > k0").select("_k", "s")
-    return tables.write(known.union(later)).groupBy("_k").agg(F.collect_list("s").alias("starts"))
+    return tables.write(known.union(later))
+
+
+def _short_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each run of fewer than RUN lines that counts by its words or as a whole document."""
+    for b in batches:
+        rows = []
+        for k, t in zip(b.column("_k").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
+            h = line_hashes(t) if t else ()
+            if not len(h):
+                continue
+            n = np.array([len(x.split()) for x in t.split(b"\n") if x.strip()])
+            for m in range(1, min(RUN - 1, len(h)) + 1):
+                words, w = np.zeros(len(h) - m + 1, np.int64), np.full(len(h) - m + 1, U(m))
+                for j in range(m):
+                    words += n[j : len(n) - m + 1 + j]
+                    w = mixed(w * MIX[0] + h[j : len(h) - m + 1 + j])
+                long = np.flatnonzero(words >= LONG_WORDS)
+                rows += [(k, s, m, x) for s, x in zip(long.tolist(), w[long].view(np.int64).tolist())]
+                if m == len(h) and words[0] < LONG_WORDS:
+                    rows.append((k, 0, m, int(mixed(w + MIX[1]).view(np.int64)[0])))
+        k, s, m, w = zip(*rows) if rows else ([], [], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(s, pa.int32()), pa.array(m, pa.int32()), pa.array(w, pa.int64())], ["_k", "s", "m", "w"])
+
+
+def repeated_short_runs(docs: DataFrame, tables: Tables) -> DataFrame:
+    """(_k, s, m): runs of m < RUN lines that also start earlier."""
+    arrow_limits(docs.sparkSession)
+    rows = tables.write(keyed(docs, F.col("text").cast("string").alias("text")).mapInArrow(_short_runs, "_k long, s int, m int, w long"))
+    first = rows.groupBy("w").agg(F.min(F.struct("_k", "s")).alias("u"), F.max(F.struct("_k", "s")).alias("v"))
+    first = tables.write(first.where("u < v").select("w", "u"))
+    return rows.join(first, "w").where(F.struct("_k", "s") > F.col("u")).select("_k", "s", "m")
 
 
 def _kept(text: str | None, starts) -> tuple[str | None, int, int]:
-    """The text without the lines of these windows, its lines and those removed."""
+    """The text without the lines of these windows (start << 2 | lines), its lines and those removed."""
     if text is None:
         return None, 0, 0
     lines = text.split("\n")
@@ -104,8 +137,9 @@ def _kept(text: str | None, starts) -> tuple[str | None, int, int]:
     if starts is None or not len(starts):
         return text, len(own), 0
     gone = np.zeros(len(own) + 1, np.int64)
-    np.add.at(gone, starts, 1)
-    np.add.at(gone, np.asarray(starts) + RUN, -1)
+    starts = np.asarray(starts)
+    np.add.at(gone, starts >> 2, 1)
+    np.add.at(gone, (starts >> 2) + (starts & 3), -1)
     gone = np.cumsum(gone)[:-1] > 0
     drop = {i for i, g in zip(own, gone) if g}
     return "\n".join(x for i, x in enumerate(lines) if i not in drop), len(own), len(drop)
@@ -115,11 +149,13 @@ def _kept_rows(text: pd.Series, starts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_kept(t, s) for t, s in zip(text, starts)], columns=["text", "n_lines", "n_removed"])
 
 
-def dedup_lines(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, tables: Tables | None = None, short: bool = False) -> DataFrame:
     """docs with ``text`` deduped and counts n_lines and n_removed added, which replace columns
-    of these names."""
+    of these names. ``short`` counts runs of fewer than RUN lines too."""
     tables = tables or Tables(docs.sparkSession)
-    runs = tables.write(repeated_runs(docs, tables))
+    runs = repeated_runs(docs, tables).withColumn("m", F.lit(RUN))
+    runs = runs.union(repeated_short_runs(docs, tables)) if short else runs
+    runs = tables.write(runs.groupBy("_k").agg(F.collect_list(F.shiftleft("s", 2).bitwiseOR(F.col("m"))).alias("starts")))
     cut = F.pandas_udf(_kept_rows, "text string, n_lines long, n_removed long")
     plain, names = set_aside(docs.drop("n_lines", "n_removed"))
     # The same plan at every size: the runs grow with the documents.
@@ -156,9 +192,9 @@ FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without their later repeated runs of lines; n_chars follows the text."""
+    """docs without their later repeated runs of lines, short ones too; n_chars follows the text."""
     plain, names = set_aside(docs)
     own = {names["doc_id"]: "doc_id", names["text"]: "text"}
-    out = dedup_lines(plain.withColumnsRenamed(own))
+    out = dedup_lines(plain.withColumnsRenamed(own), short=True)
     size = {"n_chars": F.length("text").cast("long").alias("n_chars")}
     return out.select(*[size.get(c, F.col(own.get(n, n)).alias(c)) for c, n in names.items()])

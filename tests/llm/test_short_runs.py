@@ -1,0 +1,40 @@
+import random
+
+from scriptorium.llm import lines
+
+from .conftest import DOCS, words
+from .test_lines import WHITE
+
+
+def brute(rows):
+    """Texts without every run of RUN lines, of LONG_WORDS words, or of a whole short document that starts earlier too."""
+    own, first = {}, {}
+    for key, text in sorted(rows):
+        own[key] = [(j, x.strip(WHITE)) for j, x in enumerate(text.split("\n")) if x.strip(WHITE)]
+    runs = []
+    for key, kept in own.items():
+        for m in range(1, lines.RUN + 1):
+            for s in range(len(kept) - m + 1):
+                w = tuple(x for _, x in kept[s : s + m])
+                whole = m == len(kept) < lines.RUN
+                if m == lines.RUN or sum(len(x.split()) for x in w) >= lines.LONG_WORDS:
+                    runs.append((key, s, m, w))
+                elif whole:
+                    runs.append((key, s, m, ("whole", *w)))
+    for key, s, m, w in runs:
+        first[w] = min(first.get(w, (key, s)), (key, s))
+    gone = {(key, own[key][j][0]) for key, s, m, w in runs if first[w] < (key, s) for j in range(s, s + m)}
+    return sorted((key, "\n".join(x for j, x in enumerate(text.split("\n")) if (key, j) not in gone)) for key, text in rows)
+
+
+def test_stage_removes_long_lines_and_short_documents(spark, tiny):
+    rng = random.Random(17)
+    pool = [words(rng, n) for n in (1, 2, 5, 9, 11, 12, 19, 20, 21, 60) for _ in range(3)] + ["", "  "]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 6))), None, None, 0) for i in range(80)]
+    passage = words(rng, 55, 100_000)
+    rows += [(100 + i, "\n".join([words(rng, 8, 100_000), passage, words(rng, 8, 100_000)]), None, None, 0) for i in range(3)]
+    rows += [(200 + i, "one short text", None, None, 0) for i in range(3)]
+    out = {r.doc_id: r.text for r in lines.lines_stage(spark, spark.createDataFrame(rows, DOCS).repartition(6), tiny).collect()}
+    assert sorted(out.items()) == brute([r[:2] for r in rows])
+    assert [passage in out[100 + i] for i in range(3)] == [True, False, False]
+    assert [out[200 + i] for i in range(3)] == ["one short text", "", ""]
