@@ -12,7 +12,9 @@ Two sorts of units are compared, by words as in ``decontaminate``:
   of PASSAGE_WORDS or more in all are a passage, and passages that share a piece are one
   group. A copy of 50 words keeps 30 of them on average after what its edges lose.
 
-The first unit of a group (smallest doc_id, then place) is kept, the others are removals.
+The first paragraph of a group (smallest doc_id, then place) is kept, the others are removals.
+Of passages those pieces are removals that stand earlier in the group, joined where they
+adjoin to PASSAGE_WORDS or more, so each removed piece has a kept copy.
 
 Hot bands: a band's classes meet in blocks of at most BLOCK on either side, and a block
 leaves a spanning forest of its links, never its pairs. Counts are combined before they are
@@ -241,7 +243,8 @@ def paragraph_groups(texts: DataFrame, tables: Tables) -> DataFrame:
 
 
 def passage_groups(texts: DataFrame, tables: Tables) -> DataFrame:
-    """(_k, at, n, g): passages that share a piece with one of another document."""
+    """(_k, at, n, g, removed): passages that share a piece with one of another document, cut
+    where pieces that stand earlier meet pieces that do not."""
     rows = texts.mapInArrow(_piece_rows, "_k long, at int, n int, h long")
     shared = tables.write(rows.groupBy("h").agg(F.min("_k").alias("k0"), F.max("_k").alias("k1")).where("k0 < k1").select("h"))
     met = tables.write(rows.join(shared, "h"))
@@ -251,15 +254,21 @@ def passage_groups(texts: DataFrame, tables: Tables) -> DataFrame:
     new = F.coalesce((F.lag(F.col("at") + F.col("n")).over(by) < F.col("at")).cast("int"), F.lit(1))
     runs = met.dropDuplicates(["_k", "at"]).withColumn("run", F.sum(new).over(by))
     of_run = W.partitionBy("_k", "run")
-    runs = runs.select("_k", "h", F.min("at").over(of_run).alias("at"), F.sum("n").over(of_run).cast("int").alias("n")).where(F.col("n") >= PASSAGE_WORDS)
-    runs = tables.write(runs.withColumn("id", F.xxhash64(F.lit(2), "_k", "at")))
-    first = tables.write(runs.groupBy("h").agg(F.min("id").alias("b"), F.max("id").alias("c")).where("b <> c").select("h", "b"))
-    groups = connected_components(runs.join(first, "h").select(F.col("id").alias("a"), "b"), tables)
+    runs = runs.select("_k", "h", "at", "n", F.min("at").over(of_run).alias("run"), F.sum("n").over(of_run).alias("all")).where(F.col("all") >= PASSAGE_WORDS)
+    runs = tables.write(runs.select("_k", "h", "at", "n", F.xxhash64(F.lit(2), "_k", "run").alias("id")))
+    first = tables.write(runs.groupBy("h").agg(F.min("id").alias("b"), F.max("id").alias("c"), F.min(F.struct("_k", "at")).alias("u")))
+    groups = connected_components(runs.join(first.where("b <> c"), "h").select(F.col("id").alias("a"), "b"), tables)
     # Pieces may lie in runs that are too short elsewhere: a run alone is no repeat.
-    units = runs.select("_k", "at", "n", "id").distinct().join(groups, F.col("id") == F.col("node"), "left")
-    alone = tables.write(units.select("_k", "at", "n", F.coalesce("component", "id").alias("g")))
+    units = runs.select("id").distinct().join(groups, F.col("id") == F.col("node"), "left")
+    alone = tables.write(units.select("id", F.coalesce("component", "id").alias("g")))
     large = tables.write(alone.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g"))
-    return alone.join(large, "g").select("_k", "at", "n", "g")
+    # Only a piece that stands earlier goes; what a run adds to the kept ones stays.
+    by = W.partitionBy("id").orderBy("at")
+    later = runs.join(first.select("h", "u"), "h").join(alone.join(large, "g"), "id").select("_k", "at", "n", "id", "g", (F.struct("_k", "at") > F.col("u")).alias("removed"))
+    turn = F.coalesce((F.lag("removed").over(by) != F.col("removed")).cast("int"), F.lit(1))
+    spans = later.withColumn("turn", turn).withColumn("span", F.sum("turn").over(by))
+    spans = spans.groupBy("_k", "id", "g", "span", "removed").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n"))
+    return spans.select("_k", "at", "n", "g", (F.col("removed") & (F.col("n") >= PASSAGE_WORDS)).alias("removed"))
 
 
 def repeats(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
@@ -267,14 +276,14 @@ def repeats(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
     tables = tables or Tables(docs.sparkSession)
     arrow_limits(docs.sparkSession, 4)
     texts = keyed(docs, F.col("text").cast("string").alias("text"))
-    found = paragraph_groups(texts, tables).withColumn("kind", F.lit("paragraph"))
+    found = paragraph_groups(texts, tables).select("_k", "at", "n", "g", F.lit(None).cast("boolean").alias("removed"), F.lit("paragraph").alias("kind"))
     found = found.union(passage_groups(texts, tables).withColumn("kind", F.lit("passage"))).distinct()
     found = tables.write(found)
     first = tables.write(found.groupBy("kind", "g").agg(F.min(F.struct("_k", "at")).alias("u")))
     out = found.join(first, ["kind", "g"])
     return out.select(
         own_id(), "kind", F.col("at").alias("first_word"), F.col("n").alias("n_words"), own_id("u._k").alias("group_doc_id"),
-        ((F.col("_k") != F.col("u._k")) | (F.col("at") != F.col("u.at"))).alias("removed"),
+        F.coalesce("removed", (F.col("_k") != F.col("u._k")) | (F.col("at") != F.col("u.at"))).alias("removed"),
     )
 
 
