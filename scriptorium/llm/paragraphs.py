@@ -28,6 +28,7 @@ not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -192,7 +193,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 every = np.r_[left, right]
                 stars.append(np.c_[np.full(len(every), every[0]), every])
         # First everyone with the first of its group, then only pairs not yet tied.
-        for pairs in [stars, *_open_pairs(groups, lambda: root)]:
+        for pairs in chain([stars], _open_pairs(groups, lambda: root)):
             pairs = np.unique(np.sort(np.concatenate(pairs), 1), axis=0) if pairs else np.zeros((0, 2), np.int64)
             pairs = pairs[root[pairs[:, 0]] != root[pairs[:, 1]]]
             if len(pairs):
