@@ -134,11 +134,12 @@ class Block:
         yield from zip(o[full].tolist(), i[full].tolist(), shared[full].tolist())
 
 
-def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
+def item_blocks(items: DataFrame, unnamed: bool = False) -> Iterator[list[tuple[int, np.ndarray]]]:
     """The items' distinct sorted shingles, in blocks of a bounded number of shingles. Rows
-    stream through the driver one partition at a time, and only one block is held."""
+    stream through the driver one partition at a time, and only one block is held. Items
+    without an id are left out unless ``unnamed``, where they get id 0."""
     block, size = [], 0
-    for row in items.where("item_id is not null and text is not null").select("item_id", F.encode("text", "UTF-8").alias("b")).toLocalIterator():
+    for row in items.where("text is not null" if unnamed else "item_id is not null and text is not null").select(F.coalesce("item_id", F.lit(0)).alias("item_id"), F.encode("text", "UTF-8").alias("b")).toLocalIterator():
         s = np.unique(shingles_of(bytes(row.b)))
         if not len(s):
             continue
@@ -193,7 +194,7 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     out, names = set_aside(docs)
     text = names["text"]
     out = out.withColumn(text, F.col(text).cast("string"))
-    for b in item_blocks(items):
+    for b in item_blocks(items, unnamed=True):
         out = out.mapInArrow(_keep(spark.sparkContext.broadcast(b), text), out.schema)
     return out.select(*put_back(names))
 
