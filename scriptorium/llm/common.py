@@ -20,7 +20,9 @@ NO_ID = -(2**63)
 
 
 def arrow_limits(spark: SparkSession, mb: int = 8) -> None:
-    """Bound an Arrow batch by its bytes, so that long texts can't fill a worker's memory."""
+    """Bound an Arrow batch by its bytes, so that long texts can't fill a worker's memory.
+
+    The session keeps the bounds: they are read when the plan runs, which the caller decides."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
 
@@ -28,13 +30,16 @@ def arrow_limits(spark: SparkSession, mb: int = 8) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's spark.checkpoint.dir.
 
-    Only where the cluster names none (tests, one machine) a temporary one is set.
+    Where none is named, one is set on a single machine (tests); on a cluster that is an
+    error, as no other node would see a folder of the driver's own.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
@@ -80,9 +85,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def keyed(df: DataFrame, *keep: str) -> DataFrame:
-    """The asked columns and ``_k``, doc_id with null as the smallest id."""
-    return df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_k"), *keep)
+def row_key(doc_id: Column, text: Column) -> list[Column]:
+    """``_k``, doc_id with null as the smallest id, and ``_x``, a hash of the text. Ids may repeat
+    or be null; a document is known by both."""
+    return [F.coalesce(doc_id.cast("long"), F.lit(NO_ID)).alias("_k"), F.xxhash64(F.lit(6), text.cast("string")).alias("_x")]
+
+
+def keyed(df: DataFrame, *keep: str | Column) -> DataFrame:
+    """The key of each row (doc_id, text) and the asked columns."""
+    return df.select(*row_key(F.col("doc_id"), F.col("text")), *keep)
 
 
 def own_id(col: str = "_k"):

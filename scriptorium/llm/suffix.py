@@ -17,9 +17,10 @@ is a min-aggregation, combined before it is shuffled, written and joined back on
 key, where adaptive execution splits a hot key's rows over tasks. Bytes are compared by
 64-bit hashes that are joined within the groups of the pass before.
 
-Nulls are empty texts, empty and short texts lose nothing. Of rows with the same doc_id
-each is treated on its own against smaller ids and itself, so a repeated row repeats its
-result. A null doc_id counts as the smallest id. Other columns are not read.
+Nulls are empty texts, empty and short texts lose nothing. A document is known by doc_id and
+text: of rows with the same doc_id (or none) each is held against smaller ids and itself, so
+a repeated row repeats its result. A null doc_id counts as the smallest id. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -120,15 +121,19 @@ def _block(texts: list[bytes], block: list[int]) -> Iterator[tuple[np.ndarray, .
         yield np.array(block)[of[first]], a + shift, first + shift, last + shift, h[a], reach
 
 
-def _later(key: np.ndarray, k: np.ndarray, at: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
-    """Which rows have a row with the same key (and more) at a smaller (k, at)."""
-    more = np.zeros(len(key), U) if more is None else more
-    order = np.lexsort((at, k, more, key))
-    a, b, c, d = key[order], more[order], k[order], at[order]
-    head = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
-    first = np.maximum.accumulate(np.where(head, np.arange(len(a)), 0)) if len(a) else np.zeros(0, np.int64)
+def _later(key: np.ndarray, k: np.ndarray, x: np.ndarray, at: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+    """Which rows have a row with the same key (and more) at a smaller k, or in the same
+    document (k, x) at a smaller place."""
     out = np.zeros(len(key), bool)
-    out[order] = (c > c[first]) | (d > d[first])
+    if not len(key):
+        return out
+    more = np.zeros(len(key), U) if more is None else more
+    order = np.lexsort((at, x, k, more, key))
+    a, b, c, e, d = key[order], more[order], k[order], x[order], at[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    own = new | np.r_[True, (c[1:] != c[:-1]) | (e[1:] != e[:-1])]
+    first, mine = (np.maximum.accumulate(np.where(flag, np.arange(len(a)), 0)) for flag in (new, own))
+    out[order] = (c > c[first]) | (d > d[mine])
     return out
 
 
@@ -136,63 +141,65 @@ def _texts(b: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
 
 
-ANCHORS = "_k long, s long, n int, later boolean, ah long, reach long"
+ANCHORS = "_k long, _x long, s long, n int, later boolean, ah long, reach long"
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of n windows from s on. Of equal runs of one batch only the first goes on; the
     others are known to be later, so a passage that many documents share is combined here."""
     for b in batches:
-        k = b.column("_k").to_numpy()
+        k, x = b.column("_k").to_numpy(), b.column("_x").to_numpy()
         of, _, first, last, ah, reach = anchors(_texts(b))
-        later = _later(ah, k[of], first, reach)
-        cols = (k[of], first, (last - first + 1).astype(np.int32), later, ah.view(np.int64), reach.view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["_k", "s", "n", "later", "ah", "reach"])
+        later = _later(ah, k[of], x[of], first, reach)
+        cols = (k[of], x[of], first, (last - first + 1).astype(np.int32), later, ah.view(np.int64), reach.view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["_k", "_x", "s", "n", "later", "ah", "reach"])
 
 
-WINDOWS = "_k long, s long, later boolean, w long, a int"
+WINDOWS = "_k long, _x long, s long, later boolean, w long, a int"
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of the runs (list column ``runs`` of s, n) of each text."""
     for b in batches:
-        k, texts = b.column("_k").to_numpy(), _texts(b)
+        k, x, texts = b.column("_k").to_numpy(), b.column("_x").to_numpy(), _texts(b)
         runs = b.column("runs")
         of = np.repeat(np.arange(len(texts)), runs.value_lengths().to_numpy(zero_copy_only=False))
         s, n = (runs.flatten().field(i).to_numpy() for i in (0, 1))
         for at in range(0, len(of), 2048):
             o, f, m = of[at : at + 2048], s[at : at + 2048], n[at : at + 2048].astype(np.int64)
-            data = np.frombuffer(b"".join(texts[i][x : x + c + DEPTH - 1] for i, x, c in zip(o.tolist(), f.tolist(), m.tolist())), np.uint8)
+            data = np.frombuffer(b"".join(texts[i][j : j + c + DEPTH - 1] for i, j, c in zip(o.tolist(), f.tolist(), m.tolist())), np.uint8)
             h = grams(data)
             step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
             p = step + np.repeat(np.cumsum(m + DEPTH - 1) - (m + DEPTH - 1), m)
             w = mixed(h[p] * MIX[1] + h[p + GRAM] * MIX[2] + h[p + DEPTH - GRAM] * MIX[3])
             other = (mixed(h[p] * MIX[4] + h[p + GRAM] * MIX[0] + h[p + DEPTH - GRAM] * MIX[1]) >> U(32)).astype(np.uint32).view(np.int32)
-            kk, ss = k[np.repeat(o, m)], np.repeat(f, m) + step
-            later = _later(w, kk, ss, other.astype(U))
-            cols = (kk, ss, later, w.view(np.int64), other)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["_k", "s", "later", "w", "a"])
+            kk, xx, ss = k[np.repeat(o, m)], x[np.repeat(o, m)], np.repeat(f, m) + step
+            later = _later(w, kk, xx, ss, other.astype(U))
+            cols = (kk, xx, ss, later, w.view(np.int64), other)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["_k", "_x", "s", "later", "w", "a"])
 
 
 def _later_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by w, a, _k, s those with an equal window before them, or known as later."""
-    head = None  # w, a, _k, s of the first row of the current window
+    """Of rows sorted by w, a, _k, _x, s those with an equal window at a smaller _k or before them
+    in their document, or known as later."""
+    head = own = None  # w, a, _k of the current window's first row; _x, s of the current document's
     for b in batches:
-        w, a, k, s = (b.column(c).to_numpy() for c in ("w", "a", "_k", "s"))
+        w, a, k, x, s = (b.column(c).to_numpy() for c in ("w", "a", "_k", "_x", "s"))
+        known = b.column("later").to_numpy(zero_copy_only=False)
         if not len(w):
             continue
         new = np.r_[head is None or (w[0], a[0]) != head[:2], (w[1:] != w[:-1]) | (a[1:] != a[:-1])]
-        first = np.maximum.accumulate(np.where(new, np.arange(len(w)), -1))
-        fk, fs = k[first], s[first]
-        if first[0] < 0:
-            fk, fs = np.where(first < 0, head[2], fk), np.where(first < 0, head[3], fs)
-        out = (k > fk) | (s > fs) | b.column("later").to_numpy(zero_copy_only=False)
-        head = (w[-1], a[-1], fk[-1], fs[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(k[out]), pa.array(s[out]), pa.array(np.ones(out.sum(), np.int32))], ["_k", "s", "n"])
+        turn = new | np.r_[own is None or (k[0], x[0]) != own[:2], (k[1:] != k[:-1]) | (x[1:] != x[:-1])]
+        first, mine = (np.maximum.accumulate(np.where(flag, np.arange(len(w)), -1)) for flag in (new, turn))
+        fk = np.where(first < 0, head[2] if head else 0, k[first])
+        fs = np.where(mine < 0, own[2] if own else 0, s[mine])
+        out = (k > fk) | (s > fs) | known
+        head, own = (w[-1], a[-1], fk[-1]), (k[-1], x[-1], fs[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(k[out]), pa.array(x[out]), pa.array(s[out]), pa.array(np.ones(out.sum(), np.int32))], ["_k", "_x", "s", "n"])
 
 
 def repeated_windows(docs: DataFrame, tables: Tables) -> DataFrame:
-    """(_k, s, n): runs of n windows from byte s on that also start earlier."""
+    """(_k, _x, s, n): runs of n windows from byte s on that also start earlier."""
     arrow_limits(docs.sparkSession)
     texts = keyed(docs, F.col("text").cast("string").alias("text"))
     rows = texts.mapInArrow(_anchor_rows, ANCHORS)
@@ -202,21 +209,24 @@ def repeated_windows(docs: DataFrame, tables: Tables) -> DataFrame:
     )
     seen = tables.write(seen.where("r0 <> r1 or k0 <> k1").select(F.col("ah").alias("key"), (F.col("r0") == F.col("r1")).alias("one"), "k0"))
     # Rows known as later get keys of their own, for a hot anchor's rows not to meet.
-    key = F.when(F.col("later"), F.xxhash64("_k", "s", "ah")).otherwise(F.col("ah"))
+    key = F.when(F.col("later"), F.xxhash64("_k", "_x", "s", "ah")).otherwise(F.col("ah"))
     found = rows.withColumn("key", key).join(seen, "key", "left").where("later or k0 is not null")
     sure = F.col("later") | (F.col("one") & (F.col("_k") > F.col("k0")))
-    found = tables.write(found.where(sure | ~F.col("one")).select("_k", "s", "n", sure.alias("sure"), "ah", "reach"))
+    found = tables.write(found.where(sure | ~F.col("one")).select("_k", "_x", "s", "n", sure.alias("sure"), "ah", "reach"))
     # Pass 2: of an anchor with several reaches, the first occurrence of each.
-    open_ = found.where("not sure").select("_k", "s", "n", "ah", "reach")
+    open_ = found.where("not sure").select("_k", "_x", "s", "n", "ah", "reach")
     reaches = tables.write(open_.groupBy("ah", "reach").agg(F.min("_k").alias("k0")))
-    split = tables.write(open_.join(reaches, ["ah", "reach"]).select("_k", "s", "n", (F.col("_k") > F.col("k0")).alias("sure")))
+    split = tables.write(open_.join(reaches, ["ah", "reach"]).select("_k", "_x", "s", "n", (F.col("_k") > F.col("k0")).alias("sure")))
     tables.drop(reaches)
     # Pass 3: the windows of these.
-    runs = split.where("not sure").groupBy("_k").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
-    windows = texts.join(runs, "_k").select("_k", "text", "runs").mapInArrow(_window_rows, WINDOWS)
-    last = windows.repartition("w", "a").sortWithinPartitions("w", "a", "_k", "s").mapInArrow(_later_rows, "_k long, s long, n int")
+    runs = split.where("not sure").groupBy("_k", "_x").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
+    windows = texts.join(runs, ["_k", "_x"]).select("_k", "_x", "text", "runs").mapInArrow(_window_rows, WINDOWS)
+    # What a batch knows as later is dealt out at random: a hot window sends one row a batch.
+    windows = windows.withColumn("deal", F.when(F.col("later"), F.xxhash64("_k", "_x", "s")).otherwise(F.xxhash64("w", "a")))
+    last = windows.repartition("deal").sortWithinPartitions("w", "a", "_k", "_x", "s").mapInArrow(_later_rows, "_k long, _x long, s long, n int")
     last = tables.write(last)
-    return found.where("sure").select("_k", "s", "n").union(split.where("sure").select("_k", "s", "n")).union(last)
+    sure = found.where("sure").select("_k", "_x", "s", "n").union(split.where("sure").select("_k", "_x", "s", "n"))
+    return sure.union(last)
 
 
 RESULT = "_k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -252,9 +262,9 @@ def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_runs(docs: DataFrame, tables: Tables) -> DataFrame:
-    """docs by ``_k`` with ``runs``, the list of its repeated windows (null: none)."""
-    found = repeated_windows(docs, tables).groupBy("_k").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
-    return keyed(docs, F.col("text").cast("string").alias("text")).join(found, "_k", "left")
+    """docs by key with ``runs``, the list of its repeated windows (null: none)."""
+    found = repeated_windows(docs, tables).groupBy("_k", "_x").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
+    return keyed(docs, F.col("text").cast("string").alias("text")).join(found, ["_k", "_x"], "left")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

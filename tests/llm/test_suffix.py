@@ -71,3 +71,13 @@ def test_overlaps_periods_and_shifted_passages(spark):
     rows = list({r[0]: r for r in rows}.values())
     docs = spark.createDataFrame(rows, DOCS).repartition(5)
     assert got(run(docs)) == brute([r[:2] for r in rows])
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    rng = random.Random(6)
+    for key in (None, 7):
+        z, y = words(rng, 60, 100_000), words(rng, 120, 100_000)
+        docs = spark.createDataFrame([(k, t, None, None, None) for k, t in ((key, f"{z} {z}"), (key, y), (key, y), (900, z))], DOCS).repartition(3)
+        out = got(run(docs))
+        assert out == brute(rows_of(docs))
+        assert [r[2] for r in out if r[1] == len(y)] == [0, 0]
