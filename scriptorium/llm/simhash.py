@@ -10,8 +10,9 @@ nodes is dropped as soon as it has more than the budget. A fingerprint has at mo
 529 partners below one path, so work and memory grow with the rows of a path, never
 with their square; only a spanning forest of the links leaves a task.
 
-Nulls and empty texts have fingerprint zero and link like others. Repeated rows and
-repeated ids fall together. A null doc_id counts as the smallest id and is returned
+Nulls and empty texts have fingerprint zero and link like others. Rows are the nodes: each
+links by its own text, so rows of one id and different texts may be in different groups, and
+repeated rows repeat their result. A null doc_id counts as the smallest id and is returned
 as null. Other columns are not read.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Tables, arrow_limits, documents, keyed, own_id, put_back, set_aside
+from .common import Tables, arrow_limits, documents, keyed, own_id, put_back, row_key, set_aside
 from .components import connected_components
 
 SEED, SHINGLE, BITS, BUDGET = 42, 3, 64, 2
@@ -37,7 +38,7 @@ PATH_ROWS, SPLIT_BITS = 256, 6
 FRONTIER = 1 << 18
 
 
-def fingerprint(text: bytes | None) -> int:
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """The fingerprint of a UTF-8 text, 0 where it has no word."""
     from xxhash import xxh64_intdigest
 
@@ -45,11 +46,11 @@ def fingerprint(text: bytes | None) -> int:
     if not words:
         return 0
     line = b" ".join(words)
-    if len(words) <= SHINGLE:
+    if len(words) <= shingle:
         return xxh64_intdigest(line, SEED)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
-    ones, start, stop = np.zeros(BITS, np.int64), (end - size)[: 1 - SHINGLE], end[SHINGLE - 1 :]
+    ones, start, stop = np.zeros(BITS, np.int64), (end - size)[: 1 - shingle], end[shingle - 1 :]
     for k in range(0, len(start), CHUNK):
         a, b = start[k : k + CHUNK].tolist(), stop[k : k + CHUNK].tolist()
         h = np.array([xxh64_intdigest(line[i:j], SEED) for i, j in zip(a, b)], np.uint64)
@@ -153,10 +154,10 @@ def _path(p: list[int], inside: bool):
 
 
 def near_links(classes: DataFrame, tables: Tables) -> DataFrame:
-    """Links (a, b) between distinct fingerprints of ``classes`` (fp long, rep long), as a
-    spanning forest of each path's links; a and b are their reps."""
+    """Links (a, b) between the distinct fingerprints ``classes`` (fp long), as a spanning forest
+    of each path's links."""
     rows = classes.select(
-        "rep",
+        "fp",
         F.inline(
             F.array(*[F.struct(F.shiftleft(F.lit(i).cast("long"), 32).bitwiseOR(_path(p, True)).alias("path"), _path(p, False).alias("rest")) for i, p in enumerate(BLOCKS)])
         ),
@@ -170,18 +171,18 @@ def near_links(classes: DataFrame, tables: Tables) -> DataFrame:
         F.col("n") > PATH_ROWS,
         F.array(*[F.struct(F.least(node, node.bitwiseXOR(F.lit(m))).alias("x"), F.greatest(node, node.bitwiseXOR(F.lit(m))).alias("y")) for m in near]),
     ).otherwise(F.array(F.struct(F.lit(-1).cast("long").alias("x"), F.lit(-1).cast("long").alias("y"))))
-    rows = rows.join(sizes, "path").select("path", "rest", "rep", F.inline(dealt))
+    rows = rows.join(sizes, "path").select("path", "rest", "fp", F.inline(dealt))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for b in _whole_groups(batches, ("path", "x", "y")):
             held = [b]
             t = pa.Table.from_batches(held)
-            path, x, y, rest, rep = (t.column(c).to_numpy() for c in ("path", "x", "y", "rest", "rep"))
+            path, x, y, rest, fp = (t.column(c).to_numpy() for c in ("path", "x", "y", "rest", "fp"))
             group = np.cumsum(np.r_[0, (path[1:] != path[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
             root = forest(len(rest), trie_pairs(rest.astype(np.uint64), group, BUDGET, 32))
             tied = np.flatnonzero(root != np.arange(len(root)))
-            yield pa.RecordBatch.from_arrays([pa.array(rep[tied]), pa.array(rep[root[tied]])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(fp[tied]), pa.array(fp[root[tied]])], ["a", "b"])
 
     dealt_rows = rows.repartition("path", "x", "y").sortWithinPartitions("path", "x", "y", "rest")
     return dealt_rows.mapInArrow(walk, "a long, b long")
@@ -212,11 +213,10 @@ def near_duplicates(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
     tables = tables or Tables(docs.sparkSession)
     prints = tables.write(fingerprints(docs))
     classes = tables.write(prints.groupBy("fp").agg(F.min("_k").alias("rep")))
-    # One document may have several fingerprints where ids repeat: they fall together by id.
-    parts = connected_components(near_links(classes, tables), tables)
-    named = tables.write(
-        classes.join(parts, classes.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("_c"))
-    )
+    parts = connected_components(near_links(classes.select("fp"), tables), tables)
+    named = tables.write(classes.join(parts, classes.fp == parts.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("part")))
+    least = tables.write(named.groupBy("part").agg(F.min("rep").alias("_c")))
+    named = tables.write(named.join(least, "part").select("fp", "_c"))
     return prints.join(named, "fp").select(
         own_id(), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), own_id("_c").alias("component_id")
     )
@@ -226,12 +226,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, find=near_duplicates) -> DataFrame:
-    """docs without all but the first document of each group that ``find`` names by its
-    component_id. Of rows with one doc_id one stays."""
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, find) -> DataFrame:
+    """docs without all but the first document (smallest doc_id, null first, then by a hash of
+    the text) of each group that ``find`` names: (_k, _x, kept) for every document. Of rows with
+    the same doc_id and text one stays, the first by a hash of all its columns. Null and empty
+    texts are one group; an empty table stays empty; columns are as they came."""
     tables = Tables(spark)
-    found = find(docs.select("doc_id", "text"), tables)
-    gone = tables.write(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_k")).distinct())
+    gone = tables.write(find(docs.select("doc_id", "text"), tables).where("not kept").select("_k", "_x").distinct())
     plain, names = set_aside(docs)
-    rest = plain.withColumn("_k", F.coalesce(F.col(names["doc_id"]).cast("long"), F.lit(NO_ID))).join(gone, "_k", "left_anti")
-    return rest.dropDuplicates(["_k"]).select(*put_back(names))
+    own = list(names.values())
+    rest = plain.select(*row_key(F.col(names["doc_id"]), F.col(names["text"])), F.struct(*own).alias("row"))
+    rest = rest.join(gone, ["_k", "_x"], "left_anti")
+    one = rest.groupBy("_k", "_x").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return one.select("row.*").select(*put_back(names))

@@ -1,16 +1,18 @@
 """Near-duplicate documents by MinHash banding, verified by exact shingle Jaccard.
 
-Documents are similar from 0.8 on, by the distinct 5-word shingles of their whole texts. At
-that similarity 64-bit majorities differ in some ten bits, and a budget wide enough for
-them would also admit a share of all pairs that are not similar, so candidates come from the
-bands of ``paragraphs`` instead: a pair of similarity 0.8 shares none once in 5,000 times.
+Documents are similar from 0.8 on, by the distinct 5-word shingles of their whole texts.
+Candidates are the groups of the SimHash trie join (``simhash``, over 5-word shingles) and, as
+64-bit majorities differ in some ten bits at 0.8 and a budget wide enough for them would also
+admit a share of all pairs, the bands of ``paragraphs``: a pair of similarity 0.8 shares none
+of those once in 5,000 times. A group counts as one more band.
 
 Documents of the same words are one class; those of fewer than five words are alike only if
 they are the same but for case and white space, as are texts without a word. Bands with the same
 members are compared once, and large ones in blocks of some BLOCK_SHINGLES shingles a side.
 
-Nulls and empty texts are alike. Repeated ids fall together. A null doc_id counts as the
-smallest id and is returned as null. Other columns are not read.
+Nulls and empty texts are alike. A document is known by doc_id and text; rows of one id (or
+none) and different texts are documents of their own. A null doc_id counts as the smallest.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, arrow_limits, keyed, own_id
+from .common import Tables, arrow_limits, keyed
 from .components import connected_components
 from .decontaminate import WORDS, U, _parts, shingle_hashes
-from .paragraphs import BANDS, _runs, _sequence_hash, _texts, _verified, _words, band_keys
+from .paragraphs import BANDS, _keys, _runs, _sequence_hash, _texts, _verified, _words, band_keys
+from .simhash import fingerprint, near_links
 
 BLOCK_SHINGLES = 1 << 20
 
@@ -48,20 +51,22 @@ def _classes(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 def _document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        k, texts = _texts(b)
+        k, texts = _keys(b), _texts(b)
         for part, start in _parts(texts):
             classes, long, first, size, h = _classes(part)
             n = np.zeros(len(part), np.int32)
             n[long] = size
             at = np.r_[0, np.cumsum(np.where(n > 0, BANDS, 0))].astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(at), pa.array(band_keys(h, first, size).ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(k[start : start + len(part)]), pa.array(classes.view(np.int64)), pa.array(n), bands], ["_k", "h", "n", "bands"])
+            fp = np.array([fingerprint(t, WORDS) for t in part], U).view(np.int64)
+            own = [pa.array(x[start : start + len(part)]) for x in k]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(classes.view(np.int64)), pa.array(n), bands, pa.array(fp)], ["_k", "_x", "h", "n", "bands", "fp"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sorted distinct shingles of documents of a wanted class (list column of classes)."""
     for b in batches:
-        _, texts = _texts(b)
+        texts = _texts(b)
         want = b.column("want").to_pylist()
         for part, start in _parts(texts):
             classes, long, first, size, h = _classes(part)
@@ -72,18 +77,23 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar_documents(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
-    """(doc_id, component_id) for each row of docs (doc_id, text)."""
+    """(_k, _x, kept) for each row of docs (doc_id, text)."""
     tables = tables or Tables(docs.sparkSession)
     arrow_limits(docs.sparkSession, 4)
     texts = keyed(docs, F.col("text").cast("string").alias("text"))
-    units = tables.write(texts.mapInArrow(_document_rows, "_k long, h long, n int, bands array<long>"))
-    classes = tables.write(units.groupBy("h").agg(F.min("_k").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    bands = classes.select("h", "n", F.explode("bands").alias("band"))
+    units = tables.write(texts.mapInArrow(_document_rows, "_k long, _x long, h long, n int, bands array<long>, fp long"))
+    classes = tables.write(units.groupBy("h").agg(F.min(F.struct("_k", "_x")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("fp").alias("fp")))
+    # Groups of the trie join, named by their smallest fingerprint, are bands as well.
+    prints = tables.write(classes.where("n > 0").select("fp").distinct())
+    near = connected_components(near_links(prints, tables), tables)
+    trie = classes.where("n > 0").join(near, classes.fp == near.node, "left")
+    bands = classes.select("h", "n", F.explode("bands").alias("band")).union(trie.select("h", "n", F.xxhash64(F.lit(10), F.coalesce("component", "fp"))))
+    bands = tables.write(bands)
     members = bands.groupBy("band").agg(F.min("h").alias("h0"), F.max("h").alias("h1"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("h")).alias("x"), F.sum("n").alias("all"))
     shared = tables.write(members.where("h0 <> h1").groupBy("h0", "h1", "m", "x").agg(F.min("band").alias("band"), F.first("all").alias("all")).select("band", "all"))
     met = tables.write(bands.join(shared, "band").select("band", "h", "all"))
-    want = met.select("h").distinct().join(classes, "h").groupBy(F.col("rep").alias("_k")).agg(F.collect_set("h").alias("want"))
-    sets = tables.write(texts.join(want, "_k").mapInArrow(_set_rows, "h long, shingles array<long>").dropDuplicates(["h"]))
+    want = met.select("h").distinct().join(classes, "h").groupBy("rep._k", "rep._x").agg(F.collect_set("h").alias("want"))
+    sets = tables.write(texts.join(want, ["_k", "_x"]).mapInArrow(_set_rows, "h long, shingles array<long>").dropDuplicates(["h"]))
     # Large bands are cut in parts; each pair of parts is a block.
     parts = F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int")
     own = F.pmod(F.xxhash64(F.lit(5), "h"), parts).cast("int")
@@ -93,9 +103,8 @@ def similar_documents(docs: DataFrame, tables: Tables | None = None) -> DataFram
     )
     rows = rows.join(sets, "h").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
     links = tables.write(rows.mapInArrow(_verified, "a long, b long"))
-    # By class, not by id: one id may have several texts.
-    reps = classes.select(F.col("h").alias("a"), F.col("rep").alias("ra"))
-    links = links.join(reps, "a").join(reps.withColumnsRenamed({"a": "b", "ra": "rb"}), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     found = connected_components(links, tables)
-    named = tables.write(classes.join(found, classes.rep == found.node, "left").select("h", F.coalesce("component", "rep").alias("_c")))
-    return units.join(named, "h").select(own_id(), own_id("_c").alias("component_id"))
+    named = tables.write(classes.join(found, classes.h == found.node, "left").select("h", "rep", F.coalesce("component", "h").alias("part")))
+    first = tables.write(named.groupBy("part").agg(F.min("rep").alias("first")))
+    named = tables.write(named.join(first, "part").select("h", "first"))
+    return units.join(named, "h").select("_k", "_x", (F.struct("_k", "_x") == F.col("first")).alias("kept"))

@@ -5,9 +5,9 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from scriptorium.llm import simhash
+from scriptorium.llm.common import NO_ID
 
 from .conftest import DOCS, components, words
 
@@ -23,20 +23,23 @@ def brute_fingerprint(text):
 
 
 def brute(rows):
-    prints = [(k, brute_fingerprint(t)) for k, t in rows]
-    nodes = {k for k, _ in prints}
-    links = [(a, b) for (a, f), (b, g) in combinations(prints, 2) if (f ^ g).bit_count() <= 2]
-    part = components(nodes, links)
-    return sorted((k, f"{f:016x}", part[k]) for k, f in prints)
+    """Rows are the nodes; a group is named by its smallest id."""
+    prints = [brute_fingerprint(t) for _, t in rows]
+    links = [(a, b) for (a, f), (b, g) in combinations(enumerate(prints), 2) if (f ^ g).bit_count() <= 2]
+    part = components(range(len(rows)), links)
+    least = {}
+    for i, p in part.items():
+        least[p] = min(least.get(p, rows[i][0]), rows[i][0])
+    return sorted((rows[i][0], f"{prints[i]:016x}", least[part[i]]) for i in part)
 
 
 def got(df):
-    low = simhash.NO_ID
+    low = NO_ID
     return sorted((low if r.doc_id is None else r.doc_id, r.fingerprint, low if r.component_id is None else r.component_id) for r in df.collect())
 
 
 def test_awkward_rows(spark, awkward, clashing):
-    rows = [(simhash.NO_ID if r.doc_id is None else r.doc_id, r.text) for r in awkward.collect()]
+    rows = [(NO_ID if r.doc_id is None else r.doc_id, r.text) for r in awkward.collect()]
     assert got(simhash.near_duplicates(awkward)) == brute(rows)
     assert got(simhash.near_duplicates(clashing)) == brute(rows)
 
@@ -66,20 +69,19 @@ def test_large_paths_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(simhash, "PATH_ROWS", 16)
     rng = random.Random(3)
     prints = sorted({rng.randrange(1 << 12) << 20 for _ in range(400)})
-    classes = spark.createDataFrame([(p, i) for i, p in enumerate(prints)], "fp long, rep long")
-    tables = simhash.Tables(spark)
-    links = [(r.a, r.b) for r in simhash.near_links(tables.write(classes), tables).collect()]
+    classes = spark.createDataFrame([(p,) for p in prints], "fp long")
+    tables, place = simhash.Tables(spark), {p: i for i, p in enumerate(prints)}
+    links = [(place[r.a], place[r.b]) for r in simhash.near_links(tables.write(classes), tables).collect()]
     want = [(i, j) for i, j in combinations(range(len(prints)), 2) if (prints[i] ^ prints[j]).bit_count() <= 2]
     assert components(range(len(prints)), links) == components(range(len(prints)), want)
 
 
-def test_stage_keeps_one_of_each_group(spark, clashing, tiny):
-    kept = simhash.near_duplicates_stage(spark, clashing, tiny)
-    assert kept.columns == clashing.columns
-    ids = sorted((r.doc_id is not None, r.doc_id or 0) for r in kept.select("doc_id").collect())
-    part = {r.doc_id: r.component_id for r in simhash.near_duplicates(clashing).collect()}
-    assert ids == sorted({(c is not None, c or 0) for c in part.values()})
-    assert kept.where(F.col("score") != 4).count() == 0
+def test_rows_of_one_id_are_nodes_of_their_own(spark):
+    rng = random.Random(9)
+    a, b = words(rng, 80), words(rng, 80)
+    docs = spark.createDataFrame([(6, a, None, None, None), (6, b, None, None, None), (2, b, None, None, None), (None, a + " x", None, None, None), (None, words(rng, 50), None, None, None)], DOCS)
+    rows = [(NO_ID if r.doc_id is None else r.doc_id, r.text) for r in docs.collect()]
+    assert got(simhash.near_duplicates(docs)) == brute(rows)
 
 
 def test_copies_and_near_copies(spark):
