@@ -2,27 +2,31 @@
 
 Two sorts of units are compared, by words as in ``decontaminate``:
 
-* Paragraphs: lines of PARAGRAPH_WORDS or more. Equal ones are one class. A class has
+* Paragraphs: lines of PARAGRAPH_WORDS or more, the operator's least length (an argument).
+  Equal ones are one class. A class has
   BANDS bands of ROWS minima of its 5-word shingles, so that two of similarity 0.8 miss
   each other in all bands once in 10,000 times. Classes that collide are joined and
   verified by exact Jaccard similarity, and components of the links are the groups.
 * Passages inside longer paragraphs: words are cut where a word pair's hash is the least
   within REACH words, which depends on nothing farther, so a copied passage is cut alike
-  wherever it stands. Pieces found in more than one document are joined; consecutive ones
-  of PASSAGE_WORDS or more in all are a passage, and passages that share a piece are one
-  group. A copy of 50 words keeps 30 of them on average after what its edges lose.
+  wherever it stands; a text's two ends cut as well, so pieces cover every word. Pieces that
+  stand at more than one place, of one document or more, are joined; consecutive ones of
+  PASSAGE_WORDS or more in all are a passage, and passages that share a piece are one
+  group. A copy of 50 words inside other words keeps 30 of them on average after what its edges lose.
 
-The first paragraph of a group (smallest doc_id, then place) is kept, the others are removals.
+The first paragraph of a group (smallest doc_id, then a hash of the text, then place) is kept,
+the others are removals.
 Of passages those pieces are removals that stand earlier in the group, joined where they
 adjoin to PASSAGE_WORDS or more, so each removed piece has a kept copy.
 
-Hot bands: a band's classes meet in blocks of at most BLOCK on either side, and a block
-leaves a spanning forest of its links, never its pairs. Counts are combined before they are
+Hot bands: bands of the same members are compared once; a band's classes meet in blocks of at
+most BLOCK on either side, and a block leaves a spanning forest of its links, never its pairs. Counts are combined before they are
 shuffled and joined back from written tables.
 
-Null and empty texts have no unit; nor have documents of fewer words. Repeated rows are one
-document. A null doc_id counts as the smallest and is returned as null. Other columns are
-not read.
+Null and empty texts have no unit; nor have documents of fewer words. A document is known by
+doc_id and text: repeated rows are one, and rows of one id (or none) with different texts are
+documents of their own. A null doc_id counts as the smallest and is returned as null. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -93,12 +97,12 @@ def band_keys(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return bands
 
 
-def paragraphs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+def paragraphs(texts: list[bytes], least: int = PARAGRAPH_WORDS) -> tuple[np.ndarray, ...]:
     """Of each paragraph its text, first word in the text, words, class and bands."""
     h, of, line, _ = _words(texts)
     first = _runs(line)
     size = np.diff(np.r_[first, len(h)])
-    first, size = first[size >= PARAGRAPH_WORDS], size[size >= PARAGRAPH_WORDS]
+    first, size = first[size >= max(least, WORDS)], size[size >= max(least, WORDS)]
     word0 = np.searchsorted(of, np.arange(len(texts)))
     return of[first], first - word0[of[first]], size, _sequence_hash(h, first, size), band_keys(h, first, size)
 
@@ -106,8 +110,10 @@ def paragraphs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 def pieces(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Of each piece between two cuts its text, first word, words and hash."""
     h, of, _, _ = _words(texts)
-    if len(h) < 2:
+    if not len(h):
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U))
+    if len(h) == 1:
+        return of, np.zeros(1, np.int64), np.ones(1, np.int64), _sequence_hash(h, np.zeros(1, np.int64), np.ones(1, np.int64))
     pair = mixed(h[:-1] * U(3) + h[1:])
     pair = np.where(of[:-1] == of[1:], pair, U(2**64 - 1))
     gap = 2 * REACH
@@ -116,40 +122,44 @@ def pieces(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     wide[place] = pair
     least = np.lib.stride_tricks.sliding_window_view(wide, REACH).min(1)
     is_cut = (pair < least[place - REACH]) & (pair <= least[place + 1]) & (pair < U(2**64 - 1))
-    cut = np.flatnonzero(is_cut)
-    a, b = cut[:-1], cut[1:]
-    same = of[a] == of[b] if len(a) else np.zeros(0, bool)
-    a, b = a[same], b[same]
+    a = np.union1d(np.flatnonzero(is_cut), _runs(of))  # a text's first word starts a piece
+    b = np.r_[a[1:], len(h)]
     word0 = np.searchsorted(of, np.arange(len(texts)))
     return of[a], a - word0[of[a]], b - a, _sequence_hash(h, a, b - a)
 
 
-def _texts(b: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
-    return b.column("_k").to_numpy(), [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
+def _texts(b: pa.RecordBatch) -> list[bytes]:
+    return [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
 
 
-def _paragraph_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        k, texts = _texts(b)
-        for part, first in _parts(texts):
-            of, at, n, h, bands = paragraphs(part)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(k[first + of]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), lists], ["_k", "at", "n", "h", "bands"])
+def _keys(b: pa.RecordBatch) -> list[np.ndarray]:
+    return [b.column("_k").to_numpy(), b.column("_x").to_numpy()]
+
+
+def _paragraph_rows(least: int):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, texts = _keys(b), _texts(b)
+            for part, first in _parts(texts):
+                of, at, n, h, bands = paragraphs(part, least)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(k[first + of]) for k in keys), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), lists], ["_k", "_x", "at", "n", "h", "bands"])
+
+    return each
 
 
 def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        k, texts = _texts(b)
+        keys, texts = _keys(b), _texts(b)
         for part, first in _parts(texts):
             of, at, n, h = pieces(part)
-            yield pa.RecordBatch.from_arrays([pa.array(k[first + of]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64))], ["_k", "at", "n", "h"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(k[first + of]) for k in keys), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64))], ["_k", "_x", "at", "n", "h"])
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sorted distinct shingles of the wanted paragraphs (list column of at, n, h)."""
     for b in batches:
-        _, texts = _texts(b)
-        for t, want in zip(texts, b.column("want").to_pylist()):
+        for t, want in zip(_texts(b), b.column("want").to_pylist()):
             h, _, _, _ = _words([t])
             sets = [np.unique(shingle_hashes(h[w["at"] : w["at"] + w["n"]])).view(np.int64) for w in want]
             yield pa.RecordBatch.from_arrays([pa.array([w["h"] for w in want], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["h", "shingles"])
@@ -217,15 +227,17 @@ def _open_pairs(groups, root):
         yield held
 
 
-def paragraph_groups(texts: DataFrame, tables: Tables) -> DataFrame:
-    """(_k, at, n, g): paragraphs of groups of two or more; g names the group."""
-    units = tables.write(texts.mapInArrow(_paragraph_rows, "_k long, at int, n int, h long, bands array<long>"))
-    classes = tables.write(units.groupBy("h").agg(F.min(F.struct("_k", "at", "n")).alias("u"), F.first("bands").alias("bands"), F.count("*").alias("m")))
+def paragraph_groups(texts: DataFrame, tables: Tables, least: int = PARAGRAPH_WORDS) -> DataFrame:
+    """(_k, _x, at, n, g): paragraphs of groups of two or more; g names the group."""
+    units = tables.write(texts.mapInArrow(_paragraph_rows(least), "_k long, _x long, at int, n int, h long, bands array<long>"))
+    classes = tables.write(units.groupBy("h").agg(F.min(F.struct("_k", "_x", "at", "n")).alias("u"), F.first("bands").alias("bands"), F.count("*").alias("m")))
     bands = classes.select("h", F.explode("bands").alias("band"))
-    shared = tables.write(bands.groupBy("band").agg(F.min("h").alias("h0"), F.max("h").alias("h1"), F.count("*").alias("m")).where("h0 <> h1").select("band", "m"))
+    members = bands.groupBy("band").agg(F.min("h").alias("h0"), F.max("h").alias("h1"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("h")).alias("x"))
+    # Bands of the same members are one.
+    shared = tables.write(members.where("h0 <> h1").groupBy("h0", "h1", "m", "x").agg(F.min("band").alias("band")).select("band", "m"))
     met = tables.write(bands.join(shared, "band").select("band", "h", "m"))
-    want = met.select("h").distinct().join(classes, "h").groupBy(F.col("u._k").alias("_k")).agg(F.collect_list(F.struct("u.at", "u.n", "h")).alias("want"))
-    sets = tables.write(texts.join(want, "_k").mapInArrow(_shingle_rows, "h long, shingles array<long>").dropDuplicates(["h"]))
+    want = met.select("h").distinct().join(classes, "h").groupBy("u._k", "u._x").agg(F.collect_list(F.struct("u.at", "u.n", "h")).alias("want"))
+    sets = tables.write(texts.join(want, ["_k", "_x"]).mapInArrow(_shingle_rows, "h long, shingles array<long>").dropDuplicates(["h"]))
     # Large bands are cut in parts; each pair of parts is a block.
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64(F.lit(5), "h"), parts).cast("int")
@@ -240,51 +252,53 @@ def paragraph_groups(texts: DataFrame, tables: Tables) -> DataFrame:
     named = tables.write(named)
     large = tables.write(named.groupBy("g").agg(F.sum("m").alias("all")).where("all > 1").select("g"))
     named = tables.write(named.join(large, "g").select("h", "g"))
-    return units.join(named, "h").select("_k", "at", "n", "g")
+    return units.join(named, "h").select("_k", "_x", "at", "n", "g")
 
 
 def passage_groups(texts: DataFrame, tables: Tables) -> DataFrame:
-    """(_k, at, n, g, removed): passages that share a piece with one of another document, cut
-    where pieces that stand earlier meet pieces that do not."""
-    rows = texts.mapInArrow(_piece_rows, "_k long, at int, n int, h long")
-    shared = tables.write(rows.groupBy("h").agg(F.min("_k").alias("k0"), F.max("_k").alias("k1")).where("k0 < k1").select("h"))
+    """(_k, _x, at, n, g, removed): passages whose pieces stand elsewhere too, cut where pieces
+    that stand earlier meet pieces that do not."""
+    place = F.struct("_k", "_x", "at")
+    rows = tables.write(texts.mapInArrow(_piece_rows, "_k long, _x long, at int, n int, h long"))
+    shared = tables.write(rows.groupBy("h").agg(F.min(place).alias("u"), F.max(place).alias("v")).where("u < v").select("h"))
     met = tables.write(rows.join(shared, "h"))
     tables.drop(shared)
+    tables.drop(rows)
     # Gaps and islands within a document.
-    by = W.partitionBy("_k").orderBy("at")
+    by = W.partitionBy("_k", "_x").orderBy("at")
     new = F.coalesce((F.lag(F.col("at") + F.col("n")).over(by) < F.col("at")).cast("int"), F.lit(1))
-    runs = met.dropDuplicates(["_k", "at"]).withColumn("run", F.sum(new).over(by))
-    of_run = W.partitionBy("_k", "run")
-    runs = runs.select("_k", "h", "at", "n", F.min("at").over(of_run).alias("run"), F.sum("n").over(of_run).alias("all")).where(F.col("all") >= PASSAGE_WORDS)
-    runs = tables.write(runs.select("_k", "h", "at", "n", F.xxhash64(F.lit(2), "_k", "run").alias("id")))
-    first = tables.write(runs.groupBy("h").agg(F.min("id").alias("b"), F.max("id").alias("c"), F.min(F.struct("_k", "at")).alias("u")))
+    runs = met.dropDuplicates(["_k", "_x", "at"]).withColumn("run", F.sum(new).over(by))
+    of_run = W.partitionBy("_k", "_x", "run")
+    runs = runs.select("_k", "_x", "h", "at", "n", F.min("at").over(of_run).alias("run"), F.sum("n").over(of_run).alias("all")).where(F.col("all") >= PASSAGE_WORDS)
+    runs = tables.write(runs.select("_k", "_x", "h", "at", "n", F.xxhash64(F.lit(2), "_k", "_x", "run").alias("id")))
+    first = tables.write(runs.groupBy("h").agg(F.min("id").alias("b"), F.max("id").alias("c"), F.min(place).alias("u")))
     groups = connected_components(runs.join(first.where("b <> c"), "h").select(F.col("id").alias("a"), "b"), tables)
-    # Pieces may lie in runs that are too short elsewhere: a run alone is no repeat.
-    units = runs.select("id").distinct().join(groups, F.col("id") == F.col("node"), "left")
-    alone = tables.write(units.select("id", F.coalesce("component", "id").alias("g")))
-    large = tables.write(alone.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g"))
+    named = tables.write(runs.select("id").distinct().join(groups, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("g")))
     # Only a piece that stands earlier goes; what a run adds to the kept ones stays.
     by = W.partitionBy("id").orderBy("at")
-    later = runs.join(first.select("h", "u"), "h").join(alone.join(large, "g"), "id").select("_k", "at", "n", "id", "g", (F.struct("_k", "at") > F.col("u")).alias("removed"))
+    later = runs.join(first.select("h", "u"), "h").join(named, "id").select("_k", "_x", "at", "n", "id", "g", (place > F.col("u")).alias("removed"))
     turn = F.coalesce((F.lag("removed").over(by) != F.col("removed")).cast("int"), F.lit(1))
     spans = later.withColumn("turn", turn).withColumn("span", F.sum("turn").over(by))
-    spans = spans.groupBy("_k", "id", "g", "span", "removed").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n"))
-    return spans.select("_k", "at", "n", "g", (F.col("removed") & (F.col("n") >= PASSAGE_WORDS)).alias("removed"))
+    spans = tables.write(spans.groupBy("_k", "_x", "id", "g", "span", "removed").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n")))
+    # Pieces may lie in runs that are too short elsewhere: a run alone is no repeat.
+    repeat = tables.write(spans.where("removed").select("g").distinct())
+    return spans.join(repeat, "g").select("_k", "_x", "at", "n", "g", (F.col("removed") & (F.col("n") >= PASSAGE_WORDS)).alias("removed"))
 
 
-def repeats(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
-    """(doc_id, kind, first_word, n_words, group_doc_id, removed) of every grouped unit."""
+def repeats(docs: DataFrame, tables: Tables | None = None, least: int = PARAGRAPH_WORDS) -> DataFrame:
+    """(doc_id, kind, first_word, n_words, group_doc_id, removed) of every grouped unit;
+    ``least``: words of the shortest paragraph (5 at least, as a shingle has)."""
     tables = tables or Tables(docs.sparkSession)
     arrow_limits(docs.sparkSession, 4)
     texts = keyed(docs, F.col("text").cast("string").alias("text"))
-    found = paragraph_groups(texts, tables).select("_k", "at", "n", "g", F.lit(None).cast("boolean").alias("removed"), F.lit("paragraph").alias("kind"))
+    found = paragraph_groups(texts, tables, least).select("_k", "_x", "at", "n", "g", F.lit(None).cast("boolean").alias("removed"), F.lit("paragraph").alias("kind"))
     found = found.union(passage_groups(texts, tables).withColumn("kind", F.lit("passage"))).distinct()
     found = tables.write(found)
-    first = tables.write(found.groupBy("kind", "g").agg(F.min(F.struct("_k", "at")).alias("u")))
+    first = tables.write(found.groupBy("kind", "g").agg(F.min(F.struct("_k", "_x", "at")).alias("u")))
     out = found.join(first, ["kind", "g"])
     return out.select(
         own_id(), "kind", F.col("at").alias("first_word"), F.col("n").alias("n_words"), own_id("u._k").alias("group_doc_id"),
-        F.coalesce("removed", (F.col("_k") != F.col("u._k")) | (F.col("at") != F.col("u.at"))).alias("removed"),
+        F.coalesce("removed", F.struct("_k", "_x", "at") != F.col("u")).alias("removed"),
     )
 
 

@@ -83,3 +83,23 @@ def test_driver_table(spark, tiny):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()]
     want, found = brute(rows), removed(paragraphs.op5(spark, tiny), "paragraph")
     assert found <= want and len(found) >= 0.99 * len(want)
+
+
+@pytest.mark.parametrize("key", [None, 7])
+@pytest.mark.parametrize("first", [True, False])
+def test_rows_of_one_id_are_documents_of_their_own(spark, key, first):
+    """A second, unrelated text of the same id hides no group, in whatever order the rows come."""
+    rng = random.Random(13)
+    near = words(rng, 60, 100_000)
+    rows = [(key, near, None, None, None), (8, near.replace(near.split()[30], "changed"), None, None, None)]
+    rows.insert(0 if first else 1, (key, words(rng, 60, 100_000), None, None, None))
+    out = paragraphs.repeats(spark.createDataFrame(rows, DOCS).coalesce(1)).where("kind = 'paragraph'").collect()
+    assert sorted((str(r.doc_id), r.removed) for r in out) == sorted([(str(key), False), ("8", True)])
+
+
+def test_passages_within_one_document_and_at_its_ends(spark):
+    rng = random.Random(14)
+    passage = words(rng, 60, 100_000)
+    rows = [(1, f"{passage} {words(rng, 80, 100_000)} {passage} {words(rng, 50, 100_000)}", None, None, None), (2, words(rng, 90, 100_000), None, None, None)]
+    out = paragraphs.repeats(spark.createDataFrame(rows, DOCS)).where("kind = 'passage' and removed").collect()
+    assert {r.doc_id for r in out} == {1} and sum(r.n_words for r in out) >= 30 and min(r.first_word for r in out) >= 140
