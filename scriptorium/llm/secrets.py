@@ -56,20 +56,17 @@ def with_blobs(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None, tables: Tables) -> DataFrame:
-    """The ledger's new rows for versions (_k, text, blob): unseen pairs of blob and RULE_VERSION.
+    """The ledger's new rows for versions (text, blob): unseen pairs of blob and RULE_VERSION.
 
-    Of each unseen blob one version's text is shuffled and scanned."""
+    Of each blob one text a task is shuffled, and one is scanned if the ledger lacks it."""
     spark = versions.sparkSession
     arrow_limits(spark, 4)
-    unseen = versions.groupBy("blob").agg(F.min("_k").alias("_k"))
+    texts = versions.groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is not None:
         done = ledger.where(F.col("rule_version") == RULE_VERSION).select("blob").distinct()
-        unseen = unseen.join(done, "blob", "left_anti")
-    unseen = tables.write(unseen.withColumnRenamed("blob", "wanted"))
-    # A text reaches the scan with the row that first holds its blob; ids may repeat.
-    texts = versions.join(unseen, "_k").where("blob = wanted").select("blob", "text")
+        texts = texts.join(done, "blob", "left_anti")
     found = texts.mapInArrow(_scan_rows, "blob binary, spans array<struct<kind:string,start:int,end:int>>")
-    return tables.write(found.select("blob", F.lit(RULE_VERSION).alias("rule_version"), "spans").dropDuplicates(["blob"]))
+    return tables.write(found.select("blob", F.lit(RULE_VERSION).alias("rule_version"), "spans"))
 
 
 def findings(docs: DataFrame, ledger: DataFrame | None = None, tables: Tables | None = None) -> tuple[DataFrame, DataFrame]:
