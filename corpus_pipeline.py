@@ -24,7 +24,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each group of near-duplicates."""
+    """Keep the first document of each group of near-duplicates: SimHash groups and MinHash
+    candidates over 5-word shingles, verified by exact Jaccard similarity."""
     return near_duplicates_stage(spark, docs, sf_dir, similar_documents)
 
 
