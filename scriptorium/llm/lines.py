@@ -6,15 +6,17 @@ their ends. Of each window of RUN lines the line with the smallest hash is its f
 Fingerprints at positions of more than one document are joined; around them matches are
 extended both ways window by window, as far as whole windows agree, and every line of a
 window that also starts earlier (smaller doc_id, or same document, earlier start) is
-deleted. What stays is exactly the text without its later repeated runs of RUN or more
-lines; blank lines stay.
+deleted. Fewer than RUN lines count as a run too if they have LONG_WORDS words together, or
+if they are a whole document (which repeats only other whole documents). What stays is exactly
+the text without its later repeated runs; blank lines stay.
 
 Hot lines: what repeats within an Arrow batch is combined there, counts are combined before
 they are shuffled, and joins are on written tables, so adaptive execution can split a key.
 
-Null texts stay null; empty texts stay empty. Repeated rows (same doc_id and text) are told
-from themselves by nothing, and so keep what a single row would keep. A null doc_id counts
-as the smallest id.
+Null texts stay null; empty texts stay empty. A document is known by doc_id and text: repeated
+rows keep what a single row would keep, and rows of one id (or none) with different texts are
+held against smaller ids and themselves, not against each other. A null doc_id counts as the
+smallest id.
 """
 
 from __future__ import annotations
@@ -27,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Tables, arrow_limits, documents, keyed, put_back, set_aside
+from .common import Tables, arrow_limits, documents, keyed, put_back, row_key, set_aside
 from .suffix import MIX, U, _later, mixed
 
 RUN = 3
-#: Words of a run of fewer lines that the stage counts.
+#: Words of a run of fewer lines.
 LONG_WORDS = 20
-FINGERPRINTS = "_k long, s int, f long, w array<long>, later array<boolean>"
+FINGERPRINTS = "_k long, _x long, s int, f long, w array<long>, later array<boolean>"
 
 
 def line_hashes(text: bytes) -> np.ndarray:
@@ -53,79 +55,89 @@ def windows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(n) + view.argmin(1), w
 
 
+def _documents(b: pa.RecordBatch) -> Iterator[tuple[int, int, bytes | None]]:
+    return zip(b.column("_k").to_pylist(), b.column("_x").to_pylist(), b.column("text").cast(pa.binary()).to_pylist())
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each run of windows that share a fingerprint. A window that repeats within
     the batch is known as later but for its first occurrence."""
     for b in batches:
-        ks, ss, fs, ws, ns = [], [], [], [], []
-        for k, t in zip(b.column("_k").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
+        ks, xs, ss, fs, ws, ns = [], [], [], [], [], []
+        for k, x, t in _documents(b):
             h = line_hashes(t) if t else ()
             if len(h) < RUN:
                 continue
             place, w = windows(h)
             head = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
             ks.append(np.full(len(head), k, np.int64))
+            xs.append(np.full(len(head), x, np.int64))
             ss.append(head)
             fs.append(h[place[head]])
             ws.append(w)
             ns.append(np.diff(np.r_[head, len(w)]))
         if not ks:
             continue
-        k, s, f, w, n = map(np.concatenate, (ks, ss, fs, ws, ns))
+        k, x, s, f, w, n = map(np.concatenate, (ks, xs, ss, fs, ws, ns))
         start = np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        later = _later(w, np.repeat(k, n), start, np.repeat(f, n))
+        later = _later(w, np.repeat(k, n), np.repeat(x, n), start, np.repeat(f, n))
         at = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(k), pa.array(s.astype(np.int32)), pa.array(f.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(w.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(later))],
-            ["_k", "s", "f", "w", "later"],
+            [pa.array(k), pa.array(x), pa.array(s.astype(np.int32)), pa.array(f.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(w.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(later))],
+            ["_k", "_x", "s", "f", "w", "later"],
         )
 
 
 def repeated_runs(docs: DataFrame, tables: Tables) -> DataFrame:
-    """(_k, s): the starts of a document's windows that also start earlier."""
+    """(_k, _x, s): the starts of a document's windows that also start earlier."""
     arrow_limits(docs.sparkSession)
     rows = tables.write(keyed(docs, F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, FINGERPRINTS))
     shared = tables.write(rows.groupBy("f").agg(F.min("_k").alias("k0"), F.max("_k").alias("k1")).where("k0 < k1").select("f"))
     each = rows.withColumn("x", F.arrays_zip("w", "later"))
-    known = each.select("_k", "s", F.posexplode("x").alias("i", "x")).where("x.later").select("_k", (F.col("s") + F.col("i")).alias("s"))
+    known = each.select("_k", "_x", "s", F.posexplode("x").alias("i", "x")).where("x.later").select("_k", "_x", (F.col("s") + F.col("i")).alias("s"))
     open_ = tables.write(
-        each.join(shared, "f").select("_k", "s", "f", F.posexplode("x").alias("i", "x")).where("not x.later")
-        .select("_k", (F.col("s") + F.col("i")).alias("s"), "f", F.col("x.w").alias("w"))
+        each.join(shared, "f").select("_k", "_x", "s", "f", F.posexplode("x").alias("i", "x")).where("not x.later")
+        .select("_k", "_x", (F.col("s") + F.col("i")).alias("s"), "f", F.col("x.w").alias("w"))
     )
     first = tables.write(open_.groupBy("f", "w").agg(F.min("_k").alias("k0"), F.max("_k").alias("k1")).where("k0 < k1").select("f", "w", "k0"))
-    later = open_.join(first, ["f", "w"]).where("_k > k0").select("_k", "s")
+    later = open_.join(first, ["f", "w"]).where("_k > k0").select("_k", "_x", "s")
     return tables.write(known.union(later))
 
 
 def _short_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each run of fewer than RUN lines that counts by its words or as a whole document."""
+    """A row for each run of fewer than RUN lines that counts by its words or as a whole document.
+    What repeats within the batch is known as later but for its first occurrence."""
     for b in batches:
         rows = []
-        for k, t in zip(b.column("_k").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
+        for k, x, t in _documents(b):
             h = line_hashes(t) if t else ()
             if not len(h):
                 continue
-            n = np.array([len(x.split()) for x in t.split(b"\n") if x.strip()])
+            n = np.array([len(line.split()) for line in t.split(b"\n") if line.strip()])
             for m in range(1, min(RUN - 1, len(h)) + 1):
                 words, w = np.zeros(len(h) - m + 1, np.int64), np.full(len(h) - m + 1, U(m))
                 for j in range(m):
                     words += n[j : len(n) - m + 1 + j]
                     w = mixed(w * MIX[0] + h[j : len(h) - m + 1 + j])
                 long = np.flatnonzero(words >= LONG_WORDS)
-                rows += [(k, s, m, x) for s, x in zip(long.tolist(), w[long].view(np.int64).tolist())]
+                rows += [(k, x, s, m, v) for s, v in zip(long.tolist(), w[long].view(np.int64).tolist())]
                 if m == len(h) and words[0] < LONG_WORDS:
-                    rows.append((k, 0, m, int(mixed(w + MIX[1]).view(np.int64)[0])))
-        k, s, m, w = zip(*rows) if rows else ([], [], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(s, pa.int32()), pa.array(m, pa.int32()), pa.array(w, pa.int64())], ["_k", "s", "m", "w"])
+                    rows.append((k, x, 0, m, int(mixed(w + MIX[1]).view(np.int64)[0])))
+        k, x, s, m, w = np.array(rows, np.int64).reshape(-1, 5).T
+        later = _later(w.view(U) if len(w) else w, k, x, s)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(k), pa.array(x), pa.array(s.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(later), pa.array(w)], ["_k", "_x", "s", "m", "later", "w"]
+        )
 
 
 def repeated_short_runs(docs: DataFrame, tables: Tables) -> DataFrame:
-    """(_k, s, m): runs of m < RUN lines that also start earlier."""
+    """(_k, _x, s, m): runs of m < RUN lines that also start earlier."""
     arrow_limits(docs.sparkSession)
-    rows = tables.write(keyed(docs, F.col("text").cast("string").alias("text")).mapInArrow(_short_runs, "_k long, s int, m int, w long"))
-    first = rows.groupBy("w").agg(F.min(F.struct("_k", "s")).alias("u"), F.max(F.struct("_k", "s")).alias("v"))
-    first = tables.write(first.where("u < v").select("w", "u"))
-    return rows.join(first, "w").where(F.struct("_k", "s") > F.col("u")).select("_k", "s", "m")
+    rows = tables.write(keyed(docs, F.col("text").cast("string").alias("text")).mapInArrow(_short_runs, "_k long, _x long, s int, m int, later boolean, w long"))
+    open_ = rows.where("not later")
+    first = tables.write(open_.groupBy("w").agg(F.min("_k").alias("k0"), F.max("_k").alias("k1")).where("k0 < k1").select("w", "k0"))
+    found = open_.join(first, "w").where("_k > k0").select("_k", "_x", "s", "m")
+    return rows.where("later").select("_k", "_x", "s", "m").union(found)
 
 
 def _kept(text: str | None, starts) -> tuple[str | None, int, int]:
@@ -149,17 +161,17 @@ def _kept_rows(text: pd.Series, starts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_kept(t, s) for t, s in zip(text, starts)], columns=["text", "n_lines", "n_removed"])
 
 
-def dedup_lines(docs: DataFrame, tables: Tables | None = None, short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
     """docs with ``text`` deduped and counts n_lines and n_removed added, which replace columns
-    of these names. ``short`` counts runs of fewer than RUN lines too."""
+    of these names."""
     tables = tables or Tables(docs.sparkSession)
-    runs = repeated_runs(docs, tables).withColumn("m", F.lit(RUN))
-    runs = runs.union(repeated_short_runs(docs, tables)) if short else runs
-    runs = tables.write(runs.groupBy("_k").agg(F.collect_list(F.shiftleft("s", 2).bitwiseOR(F.col("m"))).alias("starts")))
+    runs = repeated_runs(docs, tables).withColumn("m", F.lit(RUN)).union(repeated_short_runs(docs, tables))
+    runs = tables.write(runs.groupBy("_k", "_x").agg(F.collect_list(F.shiftleft("s", 2).bitwiseOR(F.col("m"))).alias("starts")))
     cut = F.pandas_udf(_kept_rows, "text string, n_lines long, n_removed long")
     plain, names = set_aside(docs.drop("n_lines", "n_removed"))
+    plain = plain.select("*", *row_key(F.col(names["doc_id"]), F.col(names["text"])))
     # The same plan at every size: the runs grow with the documents.
-    joined = plain.join(runs.hint("merge"), F.coalesce(F.col(names["doc_id"]).cast("long"), F.lit(NO_ID)) == F.col("_k"), "left")
+    joined = plain.join(runs.hint("merge"), ["_k", "_x"], "left")
     out = joined.withColumn("new", cut(F.col(names["text"]).cast("string"), F.col("starts")))
     return out.select(*put_back(names | {"text": "new.text"}), "new.n_lines", "new.n_removed")
 
@@ -174,13 +186,23 @@ WITH lines AS (
   SELECT doc_id, i, string_split(text, chr(10))[i] AS line, trim(string_split(text, chr(10))[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS x
   FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i)
 ), own AS (
-  SELECT doc_id, i, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM lines WHERE x <> ''
+  SELECT doc_id, i, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p, count(*) OVER (PARTITION BY doc_id) AS n,
+    len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words
+  FROM lines WHERE x <> ''
 ), wins AS (
-  SELECT doc_id, p, x || chr(10) || lead(x, 1) OVER w || chr(10) || lead(x, 2) OVER w AS win FROM own WINDOW w AS (PARTITION BY doc_id ORDER BY p)
+  SELECT doc_id, p, n, words AS w1, words + lead(words, 1) OVER w AS w2, x AS x1, x || chr(10) || lead(x, 1) OVER w AS x2,
+    x || chr(10) || lead(x, 1) OVER w || chr(10) || lead(x, 2) OVER w AS x3
+  FROM own WINDOW w AS (PARTITION BY doc_id ORDER BY p)
+), runs AS (
+  SELECT doc_id, p, 3 AS m, false AS whole, x3 AS run FROM wins WHERE x3 IS NOT NULL
+  UNION ALL SELECT doc_id, p, 2, false, x2 FROM wins WHERE w2 >= 20
+  UNION ALL SELECT doc_id, p, 1, false, x1 FROM wins WHERE w1 >= 20
+  UNION ALL SELECT doc_id, p, 2, true, x2 FROM wins WHERE p = 1 AND n = 2 AND w2 < 20
+  UNION ALL SELECT doc_id, p, 1, true, x1 FROM wins WHERE p = 1 AND n = 1 AND w1 < 20
 ), ranked AS (
-  SELECT doc_id, p, row_number() OVER (PARTITION BY win ORDER BY doc_id, p) AS r FROM wins WHERE win IS NOT NULL
+  SELECT doc_id, p, m, row_number() OVER (PARTITION BY m, whole, run ORDER BY doc_id, p) AS r FROM runs
 ), gone AS (
-  SELECT DISTINCT doc_id, p + d AS p FROM ranked, (VALUES (0), (1), (2)) AS t(d) WHERE r > 1
+  SELECT DISTINCT doc_id, p + d AS p FROM ranked, (VALUES (0), (1), (2)) AS t(d) WHERE r > 1 AND d < m
 ), marked AS (
   SELECT l.doc_id, l.i, l.line, o.p, g.p AS gone
   FROM lines l LEFT JOIN own o ON l.doc_id = o.doc_id AND l.i = o.i LEFT JOIN gone g ON o.doc_id = g.doc_id AND o.p = g.p
@@ -192,9 +214,11 @@ FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without their later repeated runs of lines, short ones too; n_chars follows the text."""
+    """docs without their later repeated runs of lines; n_chars follows the text. Null texts stay
+    null and empty ones empty; of equal runs the one of the smallest doc_id (null first) stays,
+    repeated rows keep the same, an empty table stays empty, other columns are as they came."""
     plain, names = set_aside(docs)
     own = {names["doc_id"]: "doc_id", names["text"]: "text"}
-    out = dedup_lines(plain.withColumnsRenamed(own), short=True)
+    out = dedup_lines(plain.withColumnsRenamed(own))
     size = {"n_chars": F.length("text").cast("long").alias("n_chars")}
     return out.select(*[size.get(c, F.col(own.get(n, n)).alias(c)) for c, n in names.items()])
