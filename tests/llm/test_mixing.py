@@ -69,3 +69,38 @@ def test_hot_source_of_copies(spark):
     rows = [(i, "a b c d", "hot", None, None) for i in range(900)] + [(1000 + i, "x " * (i + 1), "rare", None, None) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
     held(docs.collect(), mixing.mix(docs).collect(), 0.01)
+
+
+def test_rates_solve_the_dual(spark, monkeypatch):
+    """Newton's lambdas against bisection, document by document; without the passes no target is met."""
+    import math
+    import random
+
+    rng = random.Random(6)
+    sizes = [(s, k, rng.randrange(1, 6)) for s in ("=a", "=b", "=c", "=d") for k in sorted({int(rng.paretovariate(0.7)) % 20000 + 1 for _ in range(80)})]
+    total = {s: sum(k * n for t, k, n in sizes if t == s) for s, _, _ in sizes}
+    share = {"=a": 0.05, "=b": 0.7, "=c": 2.6, "=d": 3.0}
+    sources = spark.createDataFrame([(s, total[s], share[s] * total[s]) for s in share], "s string, source_size long, target double")
+    table = spark.createDataFrame(sizes, "s string, size long, n long")
+    found = {r.s: r for r in mixing.balanced(sources, table, mixing.Tables(spark)).collect()}
+    assert found["=d"].lam == math.inf
+
+    def words(s, lam, scale):
+        return sum(k * n * 3 / (1 + 2 * math.exp(-lam * (k / scale) ** (1 - mixing.MEASURE))) for t, k, n in sizes if t == s)
+
+    for s in ("=a", "=b", "=c"):
+        lo, hi, scale = -100.0, 100.0, found[s].scale
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if words(s, mid, scale) < share[s] * total[s] else (lo, mid)
+        assert found[s].lam == pytest.approx(lo, rel=1e-5, abs=1e-7)
+    monkeypatch.setattr(mixing, "PASSES", 0)
+    still = {r.s: r.lam for r in mixing.balanced(sources, table, mixing.Tables(spark)).collect()}
+    assert [still[s] for s in ("=a", "=b", "=c")] == [0, 0, 0]
+
+
+def test_stage_returns_a_corpus(clashing):
+    out = mixing.mix(clashing, whole=True)
+    assert out.columns == [*clashing.columns, "size", "source_size", "target", "copies", "taken"]
+    key = lambda rows: sorted(str((r.doc_id, r.text, r["odd name.x"])) for r in rows)
+    assert key(out.collect()) == key(clashing.collect())
