@@ -12,11 +12,24 @@ def test_declarations(spark):
     rows = declarations.declarations(docs).orderBy("sent_seq", "match_seq").collect()
     shown = [(r.name, " ".join((r.text or "").split())) for r in rows]
     assert shown[0] == ("declaration", "Let mathformula be a tile of the plane")
-    assert [n for n, _ in shown] == ["declaration", "formula", "identifier", "kind", "declaration", "formula", "identifier"]
+    assert [n for n, _ in shown] == ["declaration", "formula", "identifier", "kind", "declaration", "formula", "restriction", "identifier"]
     assert ("kind", "a tile of the plane") in shown and shown[4] == ("declaration", "for all mathformula")
     assert rows[2].kind == "math" and rows[2].parent_idx == 1 and all(r.pointer for r in rows if r.kind == "text")
 
 
+def test_lists_and_tags(spark):
+    x = lambda *parts: f"<math><mrow>{''.join(parts)}</mrow></math>"
+    mi = lambda v: f"<mi>{v}</mi>"
+    comma, sub = "<mo>,</mo>", "<msub><mi>x</mi><mn>1</mn></msub>"
+    html = (
+        f"<html><body><div class='ltx_para'><p>Suppose {x(sub, comma, '<mo>…</mo>', comma, mi('z'))} is a basis of the space. "
+        f"There exists {x(mi('y'), '<mo>&lt;</mo>', mi('A'))} in it. For every {x(mi('sin'))} it fails.</p></div></body></html>"
+    )
+    rows = declarations.declarations(spark.createDataFrame([(1, html)], "doc_id long, html string")).orderBy("sent_seq", "match_seq").collect()
+    assert [(r.name, list(r.tags)) for r in rows if r.name == "declaration"] == [("declaration", ["universal"]), ("declaration", ["existential"])]
+    assert [r.name for r in rows].count("identifier") == 3 and [r.name for r in rows].count("restriction") == 1
+
+
 def test_files(tmp_path):
     (tmp_path / "p.xml").write_text(declarations.SOURCE, encoding="utf-8")
     assert "declaration" in load_file(str(tmp_path / "p.xml")).rules["seq"]

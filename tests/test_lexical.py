@@ -81,7 +81,7 @@ def test_headings_against_recursion(spark):
 
     def reduced(h):
         for pattern, new in (
-            (labels.ROMAN, ""), (labels.NUMBER, " "), (labels.LETTER_FIRST, ""), (labels.LETTER_LAST, ""), (rf"^({labels.PHRASE_FIRST})\s", ""), (rf"\s({labels.WORD_LAST})$", ""), (rf"({labels.PLURALS})s(?:\s|$)", r"\1"),
+            (labels.ROMAN, ""), (labels.NUMBER, " "), (labels.LETTER_FIRST, ""), (labels.LETTER_LAST, ""), (rf"^({'|'.join(labels.PHRASE_FIRST)})\s", ""), (rf"\s({'|'.join(labels.WORD_LAST)})$", ""), (rf"({labels.PLURALS})s(?:\s|$)", r"\1"),
         ):
             h = re.sub(pattern, new, h.strip(" "))
         return h
