@@ -202,18 +202,40 @@ def deserialize(flat: Flat, pointer: str) -> tuple[int, int] | None:
 def canonical(node: Node, flat: Flat) -> str:
     """A subtree by names, sorted classes and text. Annotations go, semantics is unwrapped,
     blank text and text that isn't in ``flat`` go."""
-    if node.is_text:
-        a, b = flat.span_of(node)
-        text = flat.plaintext[a:b]
-        return text if text.strip() else ""
-    if node.name in ("annotation", "annotation-xml"):
-        return ""
-    inner = "".join(canonical(c, flat) for c in node.children)
-    if node.name == "semantics":
-        return inner
-    classes = sorted(node.class_attr.split())
-    mark = f' class="{" ".join(classes)}"' if classes else ""
-    return f"<{node.name}{mark}>{inner}</{node.name}>"
+    out, stack = [], [node]
+    while stack:  # of nodes, and of end tags that follow them; markup may be deep
+        n = stack.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif n.is_text:
+            a, b = flat.span_of(n)
+            text = flat.plaintext[a:b]
+            out.append(text if text.strip() else "")
+        elif n.name not in ("annotation", "annotation-xml"):
+            if n.name != "semantics":
+                classes = sorted(n.class_attr.split())
+                mark = f' class="{" ".join(classes)}"' if classes else ""
+                out.append(f"<{n.name}{mark}>")
+                stack.append(f"</{n.name}>")
+            stack.extend(reversed(n.children))
+    return "".join(out)
+
+
+def readable(node: Node) -> str:
+    """A formula for reading: element names and text, without annotations; semantics is unwrapped."""
+    out, stack = [], [node]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif n.is_text:
+            out.append(n.text)
+        elif n.name not in ("annotation", "annotation-xml"):
+            if n.name != "semantics":
+                out.append(f"<{n.name}>")
+                stack.append(f"</{n.name}>")
+            stack.extend(reversed(n.children))
+    return "".join(out)
 
 
 def canonical_hash(node: Node, flat: Flat) -> str:

@@ -35,13 +35,15 @@ def _clean(n: Node) -> bool:
 def paragraphs(root: Node, outermost: bool = False) -> list[Node]:
     """div.ltx_para without errors inside or before it among its siblings."""
     out, end = [], -1
+    spoilt: set[int] = set()  # siblings after an error
     for n in root.walk():
-        if n.name != "div" or not n.has_class_part("ltx_para") or not _clean(n):
+        bad = False
+        for c in n.children:
+            if bad:
+                spoilt.add(id(c))
+            bad = bad or c.has_class_part("ltx_ERROR")
+        if n.name != "div" or not n.has_class_part("ltx_para") or id(n) in spoilt or not _clean(n):
             continue
-        if n.parent is not None:
-            before = n.parent.children[: n.parent.children.index(n)]
-            if any(b.has_class_part("ltx_ERROR") for b in before):
-                continue
         if outermost and n.id <= end:
             continue
         end = max(end, n.end)
@@ -102,15 +104,15 @@ _STEP = re.compile(r"(//?)([\w*.-]+)((?:\[[^\]]*\])*)$")
 
 def by_path(root: Node, path: str) -> list[Node]:
     """A subset of XPath: / and // steps by local name or *, with [n], [@a], [@a='v'],
-    [contains(@a,'v')] and [local-name()='x']. An unreadable path selects nothing."""
+    [contains(@a,'v')] and [local-name()='x']. Any other path is a ValueError."""
     steps = re.findall(r"//?[^/\[]+(?:\[[^\]]*\])*", path.lstrip("."))
-    if "".join(steps) != path.lstrip("."):
-        return []
+    if not steps or "".join(steps) != path.lstrip("."):
+        raise ValueError(f"path {path!r} is beyond the subset")
     here, top = [], True
     for step in steps:
         m = _STEP.match(step)
         if not m:
-            return []
+            raise ValueError(f"step {step!r} of {path!r} is beyond the subset")
         deep, name, tests = m.groups()
         found: list[Node] = []
         for base in [root] if top else here:
@@ -119,7 +121,7 @@ def by_path(root: Node, path: str) -> list[Node]:
         for test in re.findall(r"\[([^\]]*)\]", tests):
             kept = _tested(found, test.strip())
             if kept is None:
-                return []
+                raise ValueError(f"test [{test}] of {path!r} is beyond the subset")
             found = kept
         here, top = sorted(set(found), key=lambda n: n.id), False
     return here
@@ -217,11 +219,16 @@ def items(docs: DataFrame, kind: str = "extended", parameters: Parameters = LATE
 
     def each(root: Node, doc_id: int) -> Iterator[tuple]:
         theorems = has_theorems(root)
+        around: dict[int, dict[int, tuple]] = {}  # of a parent's children the element and the text right before
         for seq, (name, n) in enumerate(KINDS[kind](root)):
             flat = flatten(n, parameters)
-            before = n.parent.children[: n.parent.children.index(n)] if n.parent is not None else []
-            prev = next((b for b in reversed(before) if not b.is_text), None)
-            prev_text = before[-1].text if before and before[-1].is_text else None
+            if n.parent is not None and id(n.parent) not in around:
+                element = text = None
+                own = around[id(n.parent)] = {}
+                for c in n.parent.children:
+                    own[id(c)] = element, text
+                    element, text = (element, c.text) if c.is_text else (c, None)
+            prev, prev_text = around[id(n.parent)][id(n)] if n.parent is not None else (None, None)
             heading = flatten(prev, parameters).plaintext if prev is not None and prev.name.startswith("h") else None
             math = [lexemes(flat.back[m.start()][0]) for m in re.finditer("mathformula", flat.plaintext)] if flat.back else []
             yield (doc_id, seq, name, n.id, n.class_attr, n.parent.class_attr if n.parent is not None else "", prev.name if prev is not None else None, heading, prev_text, theorems, flat.plaintext, math)

@@ -95,8 +95,37 @@ def golden(column: str, pairs: list[tuple[str, str]]) -> str:
     return f"SELECT {column}, label FROM (VALUES {rows}) AS t({column}, label)"
 
 
+def compat_ngrams(texts: str, anchor: str, reach: int, n: int) -> str:
+    """n-grams around an anchor as the reading automaton records them, by the places of anchors.
+
+    The ring of words is emptied at every anchor and where an anchor's right side is full, ``reach``
+    words on; a run goes from there, or from ``reach`` words back, up to the anchor, if no other anchor
+    stands within its right side. The text's end closes a last run."""
+    return (
+        rf"WITH t AS (SELECT row_number() OVER () AS id, list_filter(regexp_split_to_array(text, '[ \t\n\f\r]+'), lambda x: regexp_matches(x, '^[\p{{L}}\p{{N}}]')) AS w FROM ({texts})), "
+        f"p AS (SELECT id, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i] = '{anchor}')) AS pos FROM t), "
+        "a AS (SELECT id, pos, lag(pos) OVER o AS prev, lead(pos) OVER o AS next FROM p WINDOW o AS (PARTITION BY id ORDER BY pos)), "
+        f"sided AS (SELECT *, greatest(coalesce(CASE WHEN pos - prev > {reach} THEN prev + {reach} ELSE prev END, 0) + 1, pos - {reach - 1}) AS low FROM a), "
+        f"runs AS (SELECT id, low, pos AS high FROM sided JOIN t USING (id) WHERE pos + {reach} <= len(w) AND coalesce(next > pos + {reach}, true) "
+        f"UNION ALL SELECT t.id, CASE WHEN pos IS NULL THEN greatest(1, len(w) - {reach - 1}) WHEN pos + {reach} <= len(w) THEN greatest(pos + {reach + 1}, len(w) - {reach - 1}) ELSE low END, len(w) "
+        "FROM t LEFT JOIN sided ON sided.id = t.id AND next IS NULL) "
+        f"SELECT ngram, count(*) AS frequency FROM (SELECT array_to_string(w[i:i + {n - 1}], ' ') AS ngram FROM runs JOIN t USING (id), LATERAL (SELECT unnest(range(low, high - {n - 2})) AS i)) GROUP BY ngram"
+    )
+
+
 def by_queries(headings: list[tuple[str, str]], classes: list[tuple[str, str]], anchor: str, reach: int) -> dict[str, str]:
+    token_model = f"WITH {LINES}, {TOKENS}, {CUT} SELECT doc_id, item_seq, array_to_string(list_transform(w, lambda x: {LEXEME} || ' '), '') AS text FROM held WHERE NOT overflow"
+    # Raw elements and comments hold no elements, but a raw element's own tag counts.
+    bare = r"regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)(<(?:script|style)\b[^>]*>).*?</(?:script|style)\s*>', '\1', 'g')"
     return {
+        # Flattening transliterates.
+        "lifted_token_model": token_model.replace(words_punct("line"), words_punct(translit("line"))),
+        "citation_ngrams": compat_ngrams(f"SELECT text FROM ({token_model}) WHERE contains(text, '{anchor}')", anchor, 15, 4),
+        "anchored_ngrams_compat": compat_ngrams("SELECT text FROM documents", anchor, reach, 2),
+        "node_model": rf"SELECT page_id AS doc_id, array_to_string(list_transform(regexp_extract_all({bare}, '<[A-Za-z][^>]*>'), lambda tag: lower(regexp_extract(tag, '^<([A-Za-z0-9]+)', 1)) || "
+        r"coalesce('_' || nullif(regexp_extract(tag, 'class=\"([^\"]*)\"', 1), ''), '')), ' ') AS text FROM pages",
+        "declaration_markers": "WITH c AS (SELECT coalesce(sum((length(text) - length(replace(text, ' of ', ''))) // 4), 0)::BIGINT AS n FROM documents) "
+        "SELECT name, tags, n AS frequency FROM c, (VALUES ('declaration', 'universal'), ('formula', ''), ('restriction', ''), ('identifier', '')) AS m(name, tags) WHERE n > 0",
         "unigram_counts": WORDS + "SELECT word, count(*) AS frequency FROM words GROUP BY word",
         "stream_unigram_counts": WORDS + "SELECT word, count(*) AS frequency FROM words GROUP BY word",
         "words_punct_counts": f"SELECT word, count(*) AS frequency FROM (SELECT unnest({words_punct('text')}) AS word FROM documents) GROUP BY word",
@@ -106,7 +135,7 @@ def by_queries(headings: list[tuple[str, str]], classes: list[tuple[str, str]],
         + f", low AS (SELECT regexp_replace(word, '[^{ALNUM}]', '', 'g') AS x FROM words) SELECT {LEXEME} AS lexeme, count(*) AS frequency FROM low WHERE strlen(x) <= 25 AND x <> '' GROUP BY 1",
         "numeric_literals": f"SELECT regexp_matches(x, '{NUMERIC}') AS numeric, count(*) AS n FROM (SELECT CAST(l_quantity AS INTEGER)::VARCHAR || l_returnflag AS x FROM lineitem UNION ALL SELECT CAST(l_linenumber AS VARCHAR) FROM lineitem) GROUP BY 1",
         "overflow_paragraphs": f"WITH {LINES}, {TOKENS}, {CUT} SELECT doc_id, item_seq FROM held WHERE overflow",
-        "token_model": f"WITH {LINES}, {TOKENS}, {CUT} SELECT doc_id, item_seq, array_to_string(list_transform(w, lambda x: {LEXEME} || ' '), '') AS text FROM held WHERE NOT overflow",
+        "token_model": token_model,
         "token_model_counters": f"WITH {LINES}, {TOKENS}, {CUT}, tok AS (SELECT unnest(w) AS x FROM held), kinds AS (SELECT {LEXEME} AS k, x FROM tok) "
         "SELECT (SELECT count(*) FROM documents) AS document_count, (SELECT count(*) FROM held) AS paragraph_count, "
         "count(*) FILTER (WHERE NOT contains(x, 'mathformula') AND k NOT IN ('citationelement', 'NUM')) AS word_count, (SELECT count(*) FROM held WHERE overflow) AS overflow_count, "

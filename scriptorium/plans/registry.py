@@ -18,7 +18,7 @@ from ..operators.select import items, lifted
 from ..sources.readers import escaped, spread
 from ..sources.sinks import log_scatter
 from ..streaming import catalog as stream
-from . import oracles, programs
+from . import declarations, oracles, programs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -307,6 +307,16 @@ def pattern_matches(spark, sf_dir):
     return match_documents(documents(spark, sf_dir), PATTERNS, "of phrase", text="text")
 
 
+@query
+def declaration_markers(spark, sf_dir):
+    """(name, tags, frequency) of the declaration spotter's markers; every "of" between spaces is made
+    a quantified formula."""
+    formula = " for every <math><mrow><mi>x</mi><mo>∈</mo><mi>A</mi></mrow></math> "
+    html = F.concat(F.lit("<p>"), F.replace(escaped("text"), F.lit(" of "), F.lit(formula)), F.lit("</p>"))
+    found = declarations.declarations(documents(spark, sf_dir).select("doc_id", html.alias("html")))
+    return found.groupBy("name", F.array_join("tags", ", ").alias("tags")).agg(F.count("*").alias("frequency"))
+
+
 @query
 def document_vectors(spark, sf_dir):
     return programs.document_vectors(documents(spark, sf_dir), rounds=1)

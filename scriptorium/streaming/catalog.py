@@ -38,7 +38,9 @@ def run_catalog(keys: DataFrame, name: str, checkpoint: str, sink: Callable[[Dat
 
 
 def state_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it; a temporary
-    one only where it is unset."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; where it is
+    unset, a temporary one on a single machine and an error on a cluster."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{named.rstrip('/')}/streams" if named else tempfile.mkdtemp(prefix="streams-")

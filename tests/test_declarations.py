@@ -42,3 +42,14 @@ def test_sql(spark, tiny):
     row = spark.sql("select word_tokenize(html) as w, size(sentence_spans(flat_text(html))) as n from papers").first()
     assert row.n == 3 and row.w.split("\n")[0] == "let mathformula be a tile of the plane"
     assert spark.sql("select count(*) as n from documents where size(sentence_spans(text)) > 1").first().n > 0
+
+
+def test_markers_for_reading(spark, tmp_path):
+    from scriptorium.sources import sinks
+
+    found = declarations.declarations(spark.createDataFrame([(1, HTML)], "doc_id long, html string"))
+    rows = {r.sent_seq: r.html for r in sinks.match_sections(found).collect()}
+    assert len(rows) == 2 and "declaration {'universal'}" in rows[0] and rows[0].index("declaration") < rows[0].index("kind {}")
+    sinks.write_matches(found, str(tmp_path / "out"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert len(lines) == 2 and all(x.startswith("<section>") for x in lines)

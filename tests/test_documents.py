@@ -1,5 +1,6 @@
 import pytest
 
+from scriptorium.sources.dom import parse
 from scriptorium.operators import dnm, select
 from scriptorium.sources import dom, readers, sinks
 
@@ -70,7 +71,10 @@ def test_selectors(paper):
     assert [n.content() for n in select.references(root)] == ["Section 2"] and select.has_theorems(root)
     assert len(select.maths(root)) == 1 and len(select.filtered(root, lambda n: n.name == "section")) == 2
     assert [n.content() for n in select.by_path(root, "//section/h2[1]")] == ["1 Introduction", "2 Proofs?"]
-    assert len(select.by_path(root, "//*[contains(@class,'ltx_para')]")) == 6 and select.by_path(root, "//[") == []
+    assert len(select.by_path(root, "//*[contains(@class,'ltx_para')]")) == 6
+    for path in ("//[", "p", "//p[position() < 3]", "//p/text()", "//p[last()]"):
+        with pytest.raises(ValueError):
+            select.by_path(root, path)
     assert select.xpath_nodes(paper, "//div[@class='ltx_keywords']").first().text == "tiles"
     assert select.nodes(paper).where("doc_id = 1 and name = 'math'").select("subtree_end", "node_id").first().subtree_end > 0
 
@@ -126,3 +130,15 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "labelled")).count() == 2
     assert sinks.write_tar(found, str(tmp_path / "x.tar")) == 2
     assert [(r.x, r.log2_y) for r in sinks.log_scatter(report.where("word = 'b'"), "frequency", "frequency").collect()] == [(2, 1.0)]
+
+
+def test_deep_markup_has_a_canonical_form():
+    deep = "<div>" * 5000 + "x" + "</div>" * 5000
+    root = parse(f"<html><body>{deep}</body></html>")
+    flat = dnm.flatten(root, dnm.DEFAULT)
+    assert dnm.canonical(root, flat).count("<div>") == 5000
+
+
+def test_readable_formulas():
+    root = parse("<math><semantics><mrow class='b a'><mi>x</mi><mo>&lt;</mo></mrow><annotation>tex</annotation></semantics></math>")
+    assert dnm.readable(next(n for n in root.walk() if n.name == "math")) == "<math><mrow><mi>x</mi><mo><</mo></mrow></math>"
