@@ -2,9 +2,11 @@
 
 Vectors of equal components are one class. The centroids are fit on at most SAMPLE classes
 (taken by a hash, an even sample); every class is indexed. A class lies in the cell of its
-nearest centroid and is compared with all of each of the PROBES nearest cells, so links
-across a border are found too: with no more than PROBES cells the search is exhaustive, and
-beyond that tests hold recall against brute force. A cell is cut into blocks of at most
+nearest centroid and is compared with all of the nearest cells, PROBES of them and two more each time
+the cells beyond that double, so links across a border are found too: with no more than PROBES
+cells the search is exhaustive, and beyond that tests hold recall against brute force. ``exact``
+compares a class with every cell that may hold a link instead: one whose widest member is no
+farther from the centroid than the class is, less the angle of COSINE. A cell is cut into blocks of at most
 BLOCK rows on either side, so that no task grows with a hot cell, and a block leaves only
 the counts of its rows and a spanning forest of its links, never its pairs.
 
@@ -62,10 +64,14 @@ def fit_cells(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
+def probes(cells: int) -> int:
+    return min(cells, PROBES + 2 * max(0, int(np.ceil(np.log2(max(1, cells) / PROBES)))))
+
+
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """The cells of the PROBES nearest centroids, the nearest first; -1 fills up."""
-    m = min(PROBES, len(c))
-    out = np.full((len(x), PROBES), -1, np.int32)
+    """The cells of the nearest centroids, the nearest first."""
+    m = probes(len(c))
+    out = np.zeros((len(x), m), np.int32)
     for i in range(0, len(x), 1024):
         near = x[i : i + 1024] @ c.T
         top = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < len(c) else np.tile(np.arange(m), (len(near), 1))
@@ -85,15 +91,55 @@ def _model(classes: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def _assign(shared):
+def within_reach(x: np.ndarray, c: np.ndarray, widest: np.ndarray) -> list[np.ndarray]:
+    """For each row its own cell and all others that may hold a link; ``widest``: the angle of
+    each cell's farthest member."""
+    out = []
+    for i in range(0, len(x), 1024):
+        near = x[i : i + 1024] @ c.T
+        own = near.argmax(1)
+        near = np.arccos(np.clip(near, -1, 1)) <= widest + np.arccos(COSINE) + 1e-6
+        near[np.arange(len(near)), own] = False
+        out += [np.r_[a, np.flatnonzero(row)].astype(np.int32) for a, row in zip(own, near)]
+    return out
+
+
+def _widths(shared):
+    """(d, cell, angle): of each row the angle to its cell's centroid, the widest of a batch."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = b.column("v").value_lengths().to_numpy(zero_copy_only=False)
+            for d in np.unique(size).tolist():
+                x, c = matrix(b.column("v").take(pa.array(np.flatnonzero(size == d)))), shared.value[d]
+                near = np.concatenate([np.c_[(p := x[i : i + 1024] @ c.T).argmax(1), p.max(1)] for i in range(0, len(x), 1024)])
+                angle = np.full(len(c), -1.0)
+                np.maximum.at(angle, near[:, 0].astype(int), np.arccos(np.clip(near[:, 1], -1, 1)))
+                cells = np.flatnonzero(angle >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), d, np.int32)), pa.array(cells.astype(np.int32)), pa.array(angle[cells])], ["d", "cell", "angle"])
+
+    return each
+
+
+def _widest(rows: DataFrame, model: dict[int, np.ndarray], shared) -> dict[int, np.ndarray]:
+    """The widest angle of each cell: a number for each centroid."""
+    out = {d: np.full(len(c), -np.inf) for d, c in model.items()}
+    for r in rows.mapInArrow(_widths(shared), "d int, cell int, angle double").groupBy("d", "cell").agg(F.max("angle").alias("angle")).toLocalIterator():
+        out[r.d][r.cell] = r.angle
+    return out
+
+
+def _assign(shared, widest=None):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size = b.column("v").value_lengths().to_numpy(zero_copy_only=False)
-            cells = np.full((len(size), PROBES), -1, np.int32)
-            for d in np.unique(size):
+            cells = [None] * len(size)
+            for d in np.unique(size).tolist():
                 rows = np.flatnonzero(size == d)
-                cells[rows] = nearest(matrix(b.column("v").take(pa.array(rows))), shared.value[int(d)])
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, PROBES, dtype=np.int32)), pa.array(cells.ravel()))
+                x = matrix(b.column("v").take(pa.array(rows)))
+                found = within_reach(x, shared.value[d], widest.value[d]) if widest else nearest(x, shared.value[d])
+                for r, own in zip(rows.tolist(), found):
+                    cells[r] = own
+            flat = pa.array(cells, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("rep", "n", "v")), flat], ["rep", "n", "v", "cells"])
 
     return each
@@ -107,7 +153,13 @@ def _compare(group: pa.Table) -> pa.Table:
     if not len(rep) or ask.all() or not ask.any():
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
     x = matrix(group.column("v").chunk(0))
-    cells = group.column("cells").chunk(0).flatten().to_numpy().reshape(len(rep), PROBES)
+    cells = group.column("cells").chunk(0)
+    times = cells.value_lengths().to_numpy(zero_copy_only=False)
+    cells = cells.flatten().to_numpy()
+    home = cells[np.cumsum(times) - times]
+    # Rows and the cells that they ask, as one number each.
+    wide = int(cells.max()) + 1
+    asking = np.sort(np.repeat(np.arange(len(rep)), times) * wide + cells)
     q, s = np.flatnonzero(ask), np.flatnonzero(~ask)
     ids, node = np.unique(rep, return_inverse=True)  # a class may be query and stored
     count, links = np.zeros(len(ids), np.int64), []
@@ -119,7 +171,8 @@ def _compare(group: pa.Table) -> pa.Table:
         i, j = i[other], j[other]
         np.add.at(count, node[i], n[j])
         # The stored side counts the pair here only if it won't ask for it itself.
-        once = ~(cells[j] == cells[i, :1]).any(1)
+        both = j * wide + home[i]
+        once = asking[np.minimum(np.searchsorted(asking, both), len(asking) - 1)] != both
         np.add.at(count, node[j[once]], n[i[once]])
         root = forest(len(ids), iter([(node[i], node[j])]))
         tied = np.flatnonzero(root != np.arange(len(ids)))
@@ -130,8 +183,8 @@ def _compare(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a), "b": pa.array(b), "n": pa.array(np.r_[np.zeros(len(tied), np.int64), count[some]])})
 
 
-def near_duplicates(vectors: DataFrame, tables: Tables | None = None) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for vectors (vec_id, embedding)."""
+def near_duplicates(vectors: DataFrame, tables: Tables | None = None, exact: bool = False) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for vectors (vec_id, embedding); ``exact``: no link is missed."""
     spark = vectors.sparkSession
     tables = tables or Tables(spark)
     arrow_limits(spark)
@@ -140,11 +193,14 @@ def near_duplicates(vectors: DataFrame, tables: Tables | None = None) -> DataFra
     rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("_k"), F.when(fine, v).alias("v"))
     valid = rows.where("v is not null")
     classes = tables.write(valid.groupBy("v").agg(F.min("_k").alias("rep"), F.count("*").alias("n")))
-    shared = spark.sparkContext.broadcast(_model(classes))
-    placed = tables.write(classes.select("rep", "n", F.col("v").cast("array<double>").alias("v")).mapInArrow(_assign(shared), "rep long, n long, v array<double>, cells array<int>"))
+    model = _model(classes)
+    shared = spark.sparkContext.broadcast(model)
+    doubles = classes.select("rep", "n", F.col("v").cast("array<double>").alias("v"))
+    widest = spark.sparkContext.broadcast(_widest(doubles, model, shared)) if exact else None
+    placed = tables.write(doubles.mapInArrow(_assign(shared, widest), "rep long, n long, v array<double>, cells array<int>"))
     # Rows that each cell stores and that ask it: two numbers a cell, of at most MOST_CELLS each length.
     size = F.size("v").alias("d")
-    asked = placed.select(size, F.explode("cells").alias("cell")).where("cell >= 0").groupBy("d", "cell").agg(F.count("*").alias("q"))
+    asked = placed.select(size, F.explode("cells").alias("cell")).groupBy("d", "cell").agg(F.count("*").alias("q"))
     stored = placed.select(size, F.element_at("cells", 1).alias("cell")).groupBy("d", "cell").agg(F.count("*").alias("s"))
     parts = asked.join(stored, ["d", "cell"]).select(
         "d", "cell", F.ceil(F.col("q") / BLOCK).cast("int").alias("nq"), F.ceil(F.col("s") / BLOCK).cast("int").alias("ns")

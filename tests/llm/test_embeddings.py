@@ -70,6 +70,19 @@ def test_many_cells_and_blocks(spark, monkeypatch):
     assert all(a[1] <= b[1] for a, b in zip(found, want))
     assert sum(a[1] for a in found) >= 0.9 * sum(b[1] for b in want) > 0
     assert sum(a[2] == b[2] for a, b in zip(found, want)) >= 0.9 * len(rows)
+    assert got(embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), exact=True)) == want
+
+
+def test_exact_mode_without_clusters(spark, monkeypatch):
+    """Uniform directions in few dimensions: every border is crossed by links."""
+    monkeypatch.setattr(embeddings, "CELL_ROWS", 20)
+    monkeypatch.setattr(embeddings, "probes", lambda cells: 1)
+    x = np.random.default_rng(5).normal(size=(900, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32).astype(float))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = brute(rows)
+    assert got(embeddings.near_duplicates(vectors, exact=True)) == want
+    assert sum(r[1] for r in got(embeddings.near_duplicates(vectors))) < sum(r[1] for r in want)
 
 
 def test_hot_group(spark):
