@@ -210,9 +210,9 @@ def repeated_windows(docs: DataFrame, tables: Tables) -> DataFrame:
     seen = tables.write(seen.where("r0 <> r1 or k0 <> k1").select(F.col("ah").alias("key"), (F.col("r0") == F.col("r1")).alias("one"), "k0"))
     # Rows known as later get keys of their own, for a hot anchor's rows not to meet.
     key = F.when(F.col("later"), F.xxhash64("_k", "_x", "s", "ah")).otherwise(F.col("ah"))
-    found = rows.withColumn("key", key).join(seen, "key", "left").where("later or k0 is not null")
+    found = rows.withColumn("key", key).drop("ah").join(seen, "key", "left").where("later or k0 is not null")
     sure = F.col("later") | (F.col("one") & (F.col("_k") > F.col("k0")))
-    found = tables.write(found.where(sure | ~F.col("one")).select("_k", "_x", "s", "n", sure.alias("sure"), "ah", "reach"))
+    found = tables.write(found.where(sure | ~F.col("one")).select("_k", "_x", "s", "n", sure.alias("sure"), F.col("key").alias("ah"), "reach"))
     # Pass 2: of an anchor with several reaches, the first occurrence of each.
     open_ = found.where("not sure").select("_k", "_x", "s", "n", "ah", "reach")
     reaches = tables.write(open_.groupBy("ah", "reach").agg(F.min("_k").alias("k0")))
@@ -222,8 +222,8 @@ def repeated_windows(docs: DataFrame, tables: Tables) -> DataFrame:
     runs = split.where("not sure").groupBy("_k", "_x").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
     windows = texts.join(runs, ["_k", "_x"]).select("_k", "_x", "text", "runs").mapInArrow(_window_rows, WINDOWS)
     # What a batch knows as later is dealt out at random: a hot window sends one row a batch.
-    windows = windows.withColumn("deal", F.when(F.col("later"), F.xxhash64("_k", "_x", "s")).otherwise(F.xxhash64("w", "a")))
-    last = windows.repartition("deal").sortWithinPartitions("w", "a", "_k", "_x", "s").mapInArrow(_later_rows, "_k long, _x long, s long, n int")
+    deal = F.when(F.col("later"), F.xxhash64("_k", "_x", "s")).otherwise(F.xxhash64("w", "a"))
+    last = windows.repartition(deal).sortWithinPartitions("w", "a", "_k", "_x", "s").mapInArrow(_later_rows, "_k long, _x long, s long, n int")
     last = tables.write(last)
     sure = found.where("sure").select("_k", "_x", "s", "n").union(split.where("sure").select("_k", "_x", "s", "n"))
     return sure.union(last)
