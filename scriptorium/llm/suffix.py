@@ -1,21 +1,23 @@
 """Exact substring dedup by a depth-limited radix sort of suffixes.
 
 Suffixes are ordered only through DEPTH bytes: two of them are told apart by the passes
-below or fall into one group, and a group is exactly a repeated DEPTH-byte window.
-The digits of a window, most significant first:
+below or fall into one group, and a group is exactly a repeated DEPTH-byte window. A row for
+every suffix and digit would be many times the text, so two passes first tell apart what needs no order:
 
-1. Its anchor: the GRAM bytes with the smallest hash in the window (the first of equal
+1. A window's anchor: the GRAM bytes with the smallest hash in the window (the first of equal
    ones). Equal windows have equal anchors at the same place, and about 35 neighbouring
-   windows share one anchor, so this pass sorts one row for 35 suffixes.
+   windows share one anchor, so one row stands for 35 suffixes.
 2. The anchor's reach: all bytes of the windows that share it. Where every occurrence of
-   an anchor has the same reach, all its windows repeat alike and the sort ends here.
-3. The windows themselves, only of anchors that occur with more than one reach, and of
-   these only of the first occurrence of each reach.
+   an anchor has the same reach, all its windows repeat alike and need no order; else the
+   first occurrence of each reach goes on.
+3. The suffixes below one anchor are ordered by most-significant-digit passes, DIGIT bytes at a
+   time: each pass orders the members of each group by their next digit and parts the group where it changes,
+   and groups of one leave. After the last digit a group is a repeated window.
 
-Each pass keeps only groups with more than one member. A group is never gathered: a pass
-is a min-aggregation, combined before it is shuffled, written and joined back on its
-key, where adaptive execution splits a hot key's rows over tasks. Bytes are compared by
-64-bit hashes that are joined within the groups of the pass before.
+A hot group is never gathered: passes 1 and 2 are min-aggregations, combined before they are
+shuffled, written and joined back on their key, where adaptive execution splits a hot key's
+rows over tasks. Pass 3 takes anchors of at most TOGETHER reaches; the windows of the others are
+grouped by hash in a min-aggregation as well. Hashes have 64 bits (96 for those windows).
 
 Nulls are empty texts, empty and short texts lose nothing. A document is known by doc_id and
 text: of rows with the same doc_id (or none) each is held against smaller ids and itself, so
@@ -38,6 +40,9 @@ from .common import Tables, arrow_limits, documents, keyed, own_id
 DEPTH, GRAM = 100, 40
 #: Grams in a window; 64 at most, for a place to fit in six bits.
 WIDE = DEPTH - GRAM + 1
+DIGIT = 8
+#: Runs of one anchor that are ordered in one task.
+TOGETHER = 4096
 #: Bytes that are hashed at once.
 BLOCK = 1 << 19
 U = np.uint64
@@ -155,47 +160,79 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["_k", "_x", "s", "n", "later", "ah", "reach"])
 
 
-WINDOWS = "_k long, _x long, s long, later boolean, w long, a int"
+OPEN = "_k long, _x long, s long, n int, hot boolean, later boolean, key long, data binary"
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of the runs (list column ``runs`` of s, n) of each text."""
+def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs (list column ``runs`` of s, n, ah, hot) of each text: of others the bytes by their
+    anchor, of hot ones a row for each window by its hash (n: more of it), known as later where
+    the batch shows it."""
     for b in batches:
         k, x, texts = b.column("_k").to_numpy(), b.column("_x").to_numpy(), _texts(b)
         runs = b.column("runs")
         of = np.repeat(np.arange(len(texts)), runs.value_lengths().to_numpy(zero_copy_only=False))
-        s, n = (runs.flatten().field(i).to_numpy() for i in (0, 1))
-        for at in range(0, len(of), 2048):
-            o, f, m = of[at : at + 2048], s[at : at + 2048], n[at : at + 2048].astype(np.int64)
-            data = np.frombuffer(b"".join(texts[i][j : j + c + DEPTH - 1] for i, j, c in zip(o.tolist(), f.tolist(), m.tolist())), np.uint8)
-            h = grams(data)
+        s, n, ah, hot = (runs.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("s", "n", "ah", "hot"))
+        cold = np.flatnonzero(~hot)
+        data = [texts[i][j : j + c + DEPTH - 1] for i, j, c in zip(of[cold].tolist(), s[cold].tolist(), n[cold].tolist())]
+        no = np.zeros(len(cold), bool)
+        cols = (k[of[cold]], x[of[cold]], s[cold], n[cold], no, no, ah[cold])
+        yield _open_batch(cols, pa.array(data, pa.binary()))
+        parts = []
+        for at in range(0, hot.sum(), 2048):
+            r = np.flatnonzero(hot)[at : at + 2048]
+            m = n[r].astype(np.int64)
+            h = grams(np.frombuffer(b"".join(texts[i][j : j + c + DEPTH - 1] for i, j, c in zip(of[r].tolist(), s[r].tolist(), m.tolist())), np.uint8))
             step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
             p = step + np.repeat(np.cumsum(m + DEPTH - 1) - (m + DEPTH - 1), m)
             w = mixed(h[p] * MIX[1] + h[p + GRAM] * MIX[2] + h[p + DEPTH - GRAM] * MIX[3])
             other = (mixed(h[p] * MIX[4] + h[p + GRAM] * MIX[0] + h[p + DEPTH - GRAM] * MIX[1]) >> U(32)).astype(np.uint32).view(np.int32)
-            kk, xx, ss = k[np.repeat(o, m)], x[np.repeat(o, m)], np.repeat(f, m) + step
-            later = _later(w, kk, xx, ss, other.astype(U))
-            cols = (kk, xx, ss, later, w.view(np.int64), other)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["_k", "_x", "s", "later", "w", "a"])
-
-
-def _later_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by w, a, _k, _x, s those with an equal window at a smaller _k or before them
-    in their document, or known as later."""
-    head = own = None  # w, a, _k of the current window's first row; _x, s of the current document's
-    for b in batches:
-        w, a, k, x, s = (b.column(c).to_numpy() for c in ("w", "a", "_k", "_x", "s"))
-        known = b.column("later").to_numpy(zero_copy_only=False)
-        if not len(w):
-            continue
-        new = np.r_[head is None or (w[0], a[0]) != head[:2], (w[1:] != w[:-1]) | (a[1:] != a[:-1])]
-        turn = new | np.r_[own is None or (k[0], x[0]) != own[:2], (k[1:] != k[:-1]) | (x[1:] != x[:-1])]
-        first, mine = (np.maximum.accumulate(np.where(flag, np.arange(len(w)), -1)) for flag in (new, turn))
-        fk = np.where(first < 0, head[2] if head else 0, k[first])
-        fs = np.where(mine < 0, own[2] if own else 0, s[mine])
-        out = (k > fk) | (s > fs) | known
-        head, own = (w[-1], a[-1], fk[-1]), (k[-1], x[-1], fs[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(k[out]), pa.array(x[out]), pa.array(s[out]), pa.array(np.ones(out.sum(), np.int32))], ["_k", "_x", "s", "n"])
+            parts.append((np.repeat(of[r], m), np.repeat(s[r], m) + step, w, other))
+        if parts:
+            o, ss, w, other = (np.concatenate(c) for c in zip(*parts))
+            later = _later(w, k[o], x[o], ss, other.astype(U))
+            yield _open_batch((k[o], x[o], ss, other, np.ones(len(o), bool), later, w.view(np.int64)), pa.nulls(len(o), pa.binary()))
+
+
+def _open_batch(cols: tuple[np.ndarray, ...], data: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*map(pa.array, cols), data], ["_k", "_x", "s", "n", "hot", "later", "key", "data"])
+
+
+def radix_groups(lanes: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The members of groups whose DEPTH bytes from ``at`` on repeat within ``group``, and the groups they
+    end in: most-significant digits first, a group of one leaves. ``lanes``: eight bytes from each place on."""
+    member = np.arange(len(at))
+    for digit in [*range(0, DEPTH - DIGIT, DIGIT), DEPTH - DIGIT]:
+        value = lanes[at[member] + digit].astype(U)
+        order = np.lexsort((value, group))
+        member, value, group = member[order], value[order], group[order]
+        new = np.r_[True, (group[1:] != group[:-1]) | (value[1:] != value[:-1])] if len(member) else np.zeros(0, bool)
+        label = np.cumsum(new) - 1
+        more = np.bincount(label, minlength=1)[label] > 1 if len(member) else new
+        member, group = member[more], label[more]
+    return member, group
+
+
+def _ordered_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of runs sorted by their anchor (key) the windows that are later ones, joined where they adjoin."""
+    from .simhash import _whole_groups
+
+    for b in _whole_groups(batches, ("key",)):
+        k, x, s, n, key = (b.column(c).to_numpy() for c in ("_k", "_x", "s", "n", "key"))
+        n = n.astype(np.int64)
+        texts = b.column("data").to_pylist()
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        start = np.cumsum(n + DEPTH - 1) - (n + DEPTH - 1)
+        lanes = np.ndarray((len(data) - DIGIT + 1,), ">u8", data, strides=(1,))
+        run = np.repeat(np.arange(len(n)), n)
+        step = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+        anchor = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+        member, group = radix_groups(lanes, start[run] + step, anchor[run])
+        r = run[member]
+        found = np.sort(member[_later(group.astype(U), k[r], x[r], s[r] + step[member])])
+        head = np.flatnonzero(np.r_[True, (found[1:] != found[:-1] + 1) | (run[found[1:]] != run[found[:-1]])]) if len(found) else found
+        first, r = found[head], run[found[head]]
+        size = np.diff(np.r_[head, len(found)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(k[r]), pa.array(x[r]), pa.array(s[r] + step[first]), pa.array(size)], ["_k", "_x", "s", "n"])
 
 
 def repeated_windows(docs: DataFrame, tables: Tables) -> DataFrame:
@@ -216,17 +253,21 @@ def repeated_windows(docs: DataFrame, tables: Tables) -> DataFrame:
     # Pass 2: of an anchor with several reaches, the first occurrence of each.
     open_ = found.where("not sure").select("_k", "_x", "s", "n", "ah", "reach")
     reaches = tables.write(open_.groupBy("ah", "reach").agg(F.min("_k").alias("k0")))
-    split = tables.write(open_.join(reaches, ["ah", "reach"]).select("_k", "_x", "s", "n", (F.col("_k") > F.col("k0")).alias("sure")))
+    split = tables.write(open_.join(reaches, ["ah", "reach"]).select("_k", "_x", "s", "n", "ah", (F.col("_k") > F.col("k0")).alias("sure")))
     tables.drop(reaches)
     # Pass 3: the windows of these.
-    runs = split.where("not sure").groupBy("_k", "_x").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
-    windows = texts.join(runs, ["_k", "_x"]).select("_k", "_x", "text", "runs").mapInArrow(_window_rows, WINDOWS)
-    # What a batch knows as later is dealt out at random: a hot window sends one row a batch.
-    deal = F.when(F.col("later"), F.xxhash64("_k", "_x", "s")).otherwise(F.xxhash64("w", "a"))
-    last = windows.repartition(deal).sortWithinPartitions("w", "a", "_k", "_x", "s").mapInArrow(_later_rows, "_k long, _x long, s long, n int")
-    last = tables.write(last)
+    left = split.where("not sure")
+    hot = tables.write(left.groupBy("ah").agg(F.count("*").alias("m")).where(F.col("m") > TOGETHER).select("ah", F.lit(True).alias("hot")))
+    left = left.join(hot, "ah", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    runs = left.groupBy("_k", "_x").agg(F.collect_list(F.struct("s", "n", "ah", "hot")).alias("runs"))
+    rows = tables.write(texts.join(runs, ["_k", "_x"]).select("_k", "_x", "text", "runs").mapInArrow(_open_rows, OPEN))
+    last = rows.where("not hot").select("_k", "_x", "s", "n", "key", "data").repartition("key").sortWithinPartitions("key")
+    last = tables.write(last.mapInArrow(_ordered_rows, "_k long, _x long, s long, n int"))
+    windows = rows.where("hot and not later").select("_k", "_x", "s", "n", "key")
+    first = tables.write(windows.groupBy("key", "n").agg(F.min("_k").alias("k0"), F.max("_k").alias("k1")).where("k0 < k1").select("key", "n", "k0"))
+    one = lambda df: df.select("_k", "_x", "s", F.lit(1).alias("n"))
     sure = found.where("sure").select("_k", "_x", "s", "n").union(split.where("sure").select("_k", "_x", "s", "n"))
-    return sure.union(last)
+    return sure.union(last).union(one(windows.join(first, ["key", "n"]).where("_k > k0"))).union(one(rows.where("hot and later")))
 
 
 RESULT = "_k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

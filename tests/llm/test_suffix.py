@@ -2,6 +2,8 @@ import hashlib
 import random
 from itertools import groupby
 
+import numpy as np
+
 from scriptorium.llm import suffix
 
 from .conftest import DOCS, words
@@ -42,6 +44,38 @@ def rows_of(df):
     return [(-(2**63) if r.doc_id is None else r.doc_id, r.text) for r in df.collect()]
 
 
+def test_radix_passes_leave_exactly_the_repeated_windows():
+    """Digit by digit against a dictionary of windows, over texts whose windows differ in any one byte."""
+    rng = np.random.default_rng(1)
+    base = bytes(rng.integers(97, 100, 160).astype(np.uint8))
+    texts = [base, base, *(base[:i] + b"Z" + base[i + 1 :] for i in range(0, 160, 3)), b"ab" * 120]
+    data = b"".join(texts)
+    at, group = [], []
+    for k, t in enumerate(texts):
+        start = sum(map(len, texts[:k]))
+        at += range(start, start + len(t) - suffix.DEPTH + 1)
+    group = [a % 2 for a in at]
+    lanes = np.ndarray((len(data) - 7,), ">u8", np.frombuffer(data, np.uint8), strides=(1,))
+    member, label = suffix.radix_groups(lanes, np.array(at), np.array(group))
+    want = {}
+    for i, (a, g) in enumerate(zip(at, group)):
+        want.setdefault((g, data[a : a + suffix.DEPTH]), []).append(i)
+    found = {}
+    for i, g in zip(member.tolist(), label.tolist()):
+        found.setdefault(g, []).append(i)
+    assert sorted(map(sorted, found.values())) == sorted(v for v in want.values() if len(v) > 1)
+    # Groups come in the order of their bytes.
+    shown = [(group[i], data[at[i] : at[i] + suffix.DEPTH]) for i in member.tolist()]
+    assert shown == sorted(shown)
+
+
+def test_hot_anchors_are_dealt_out(spark, tiny, monkeypatch):
+    """With every anchor hot, and with every window ordered, the same bytes go."""
+    want = got(suffix.op7(spark, tiny))
+    monkeypatch.setattr(suffix, "TOGETHER", 0)
+    assert got(suffix.op7(spark, tiny)) == want
+
+
 def test_awkward_rows(awkward, clashing):
     awkward = awkward.where("doc_id is null or doc_id not in (7, 8)").union(awkward.where("doc_id = 7").selectExpr("doc_id", "substr(text, 1, 40000)", "lang", "source", "n_chars"))
     assert got(run(awkward)) == brute(rows_of(awkward))
