@@ -68,6 +68,10 @@ class Tables:
             df.write.parquet(path)
         finally:
             self.spark.conf.set(key, before)
+        if self.made == 1:  # what no one drops goes when the driver ends
+            with contextlib.suppress(Exception):
+                root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+                root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._table_path = path
         return out

@@ -32,8 +32,8 @@ from .components import connected_components
 SEED, SHINGLE, BITS, BUDGET = 42, 3, 64, 2
 #: Shingles whose bits are unpacked at once.
 CHUNK = 1 << 18
-#: Rows of one path that a task walks whole; more are dealt out by the next SPLIT_BITS bits.
-PATH_ROWS, SPLIT_BITS = 256, 6
+#: Paths of more rows than the first number are dealt out by so many of their next bits.
+SPLITS = ((256, 6), (1 << 14, 10), (1 << 20, 14))
 #: Node pairs that are widened at once.
 FRONTIER = 1 << 18
 
@@ -165,12 +165,15 @@ def near_links(classes: DataFrame, tables: Tables) -> DataFrame:
     # Paths with many rows go on by pairs of nodes: each row joins the node pairs of its next
     # bits and of every value within the budget; the smaller node names the pair.
     sizes = tables.write(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
-    near = [0] + [sum(1 << b for b in c) for k in (1, 2) for c in combinations(range(SPLIT_BITS), k)]
-    node = F.shiftrightunsigned("rest", 32 - SPLIT_BITS)
-    dealt = F.when(
-        F.col("n") > PATH_ROWS,
-        F.array(*[F.struct(F.least(node, node.bitwiseXOR(F.lit(m))).alias("x"), F.greatest(node, node.bitwiseXOR(F.lit(m))).alias("y")) for m in near]),
-    ).otherwise(F.array(F.struct(F.lit(-1).cast("long").alias("x"), F.lit(-1).cast("long").alias("y"))))
+    dealt = F.array(F.struct(F.lit(-1).cast("long").alias("x"), F.lit(-1).cast("long").alias("y")))
+    for rows_of_path, bits in SPLITS:
+        near = [0] + [sum(1 << b for b in c) for k in range(1, BUDGET + 1) for c in combinations(range(bits), k)]
+        node = F.shiftrightunsigned("rest", 32 - bits)
+        pairs = F.transform(
+            F.array(*[F.lit(m).cast("long") for m in near]),
+            lambda m, node=node: F.struct(F.least(node, node.bitwiseXOR(m)).alias("x"), F.greatest(node, node.bitwiseXOR(m)).alias("y")),
+        )
+        dealt = F.when(F.col("n") > rows_of_path, pairs).otherwise(dealt)
     rows = rows.join(sizes, "path").select("path", "rest", "fp", F.inline(dealt))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,9 +64,10 @@ def test_trie_finds_all_pairs(bits):
     assert found == want
 
 
-def test_large_paths_are_dealt_out(spark, monkeypatch):
+@pytest.mark.parametrize("splits", [((16, 6),), ((4, 4), (16, 9)), ((4, 4), (8, 6), (16, 14))])
+def test_large_paths_are_dealt_out(spark, monkeypatch, splits):
     """Many fingerprints below one path link as by brute force."""
-    monkeypatch.setattr(simhash, "PATH_ROWS", 16)
+    monkeypatch.setattr(simhash, "SPLITS", splits)
     rng = random.Random(3)
     prints = sorted({rng.randrange(1 << 12) << 20 for _ in range(400)})
     classes = spark.createDataFrame([(p,) for p in prints], "fp long")
