@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.lexical import ALNUM, bound, col, ngrams
 
-#: Ids that share a counting bucket of ``dictionary``.
-BUCKET = 4096
+#: Bits of an id by which ``dictionary`` counts at once.
+LEVEL = 16
 
 
 def counts(tokens: DataFrame, key: str, name: str = "frequency") -> DataFrame:
@@ -28,15 +28,24 @@ def ngram_counts(items: DataFrame, tokens: Column | str, n: int) -> DataFrame:
 def dictionary(tokens: DataFrame, by: tuple[str, ...] = ("doc_id", "pos"), word: str = "word") -> DataFrame:
     """(word, first_index): words by the order of their first occurrence, from 1.
 
-    Ranks are counted in buckets of BUCKET ids, and only the buckets' sizes are ordered in one
-    place. ``by`` starts with an integer id.
+    An id's words are ranked among themselves and follow the words of smaller ids, which are
+    counted level by level over LEVEL bits of the id: no window holds more than 65,536 counts or an
+    id's own words, however the ids are spread. ``by`` starts with an integer id.
     """
     first = tokens.groupBy(word).agg(F.min(F.struct(*by)).alias("at"))
-    first = first.withColumn("bucket", F.floor(F.coalesce(F.col(f"at.{by[0]}"), F.lit(-(2**62))) / BUCKET))
-    before = first.groupBy("bucket").agg(F.count("*").alias("n"))
-    before = before.select("bucket", (F.sum("n").over(W.orderBy("bucket")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(W.partitionBy("bucket").orderBy("at"))
-    return first.withColumn("rank", rank).join(before, "bucket").select(word, (F.col("before") + F.col("rank")).alias("first_index"))
+    first = first.withColumn("id", F.coalesce(F.col(f"at.{by[0]}").cast("long"), F.lit(-(2**62))))
+    level = first.groupBy("id").agg(F.count("*").alias("n"))
+    levels = []
+    for _ in range(64 // LEVEL - 1):
+        level = level.withColumn("up", F.shiftright("id", LEVEL))
+        levels.append(level.select("id", "up", (F.sum("n").over(W.partitionBy("up").orderBy("id")) - F.col("n")).alias("before")))
+        level = level.groupBy(F.col("up").alias("id")).agg(F.sum("n").alias("n"))
+    # What is left of an id are its highest bits.
+    before = level.select(F.col("id").alias("up"), (F.sum("n").over(W.orderBy("id")) - F.col("n")).alias("above"))
+    for below in reversed(levels):
+        before = below.join(before, "up").select(F.col("id").alias("up"), (F.col("before") + F.col("above")).alias("above"))
+    ranked = first.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("at")))
+    return ranked.join(before.withColumnRenamed("up", "id"), "id").select(word, (F.col("above") + F.col("rank")).alias("first_index"))
 
 
 def anchor_words(text: Column | str) -> Column:

@@ -6,6 +6,7 @@ private character and turned back afterwards.
 
 from __future__ import annotations
 
+from ..functions import labels
 from ..functions.lexical import LANGUAGE_WORDS
 from ..functions.tables import STOPWORDS, TRANSLIT_MANY, TRANSLIT_ONE
 
@@ -90,6 +91,36 @@ ATTRS = TAGS + (
 )
 
 
+def heading_label(rows: str) -> str:
+    """Structural labels of rows (doc_id, heading): reductions until nothing changes, by recursion,
+    and then the first rule that fits."""
+    steps = [
+        (labels.ROMAN, ""), (labels.NUMBER, " "), (labels.LETTER_FIRST, ""), (labels.LETTER_LAST, ""), (rf"^({'|'.join(labels.PHRASE_FIRST)})\s", ""),
+        (rf"\s({'|'.join(labels.WORD_LAST)})$", ""), (rf"({labels.PLURALS})s(?:\s|$)", r"\1"),
+    ]
+    reduced = "h"
+    for pattern, new in steps:
+        reduced = f"regexp_replace(trim({reduced}, ' '), {quoted(pattern)}, {quoted(new)}, 'g')"
+    rules = [f"WHEN h = {quoted(a)} THEN {quoted(b)}" for a, b in labels.EXACT]
+    rules += [f"WHEN {test}(h, {quoted(a)}) THEN {quoted(b)}" for test, table in (("starts_with", labels.STARTS), ("suffix", labels.ENDS)) for a, b in table]
+    return (
+        f"WITH RECURSIVE t AS ({rows}), r AS (SELECT doc_id, heading, lower(heading) AS h, 0 AS i FROM t UNION ALL SELECT doc_id, heading, {reduced}, i + 1 FROM r WHERE {reduced} <> h), "
+        "last AS (SELECT doc_id, heading, arg_max(h, i) AS h FROM r GROUP BY doc_id, heading), "
+        f"named AS (SELECT doc_id, heading, CASE {' '.join(rules)} ELSE h END AS name FROM last) "
+        f"SELECT doc_id, heading, CASE WHEN name IN ({', '.join(map(quoted, labels.STRUCTURAL))}) THEN name ELSE 'other' END AS label FROM named"
+    )
+
+
+def headed(headings: list[tuple[str, str]]) -> str:
+    """(doc_id, heading) of documents, as the query makes them up."""
+    n = len(headings)
+    head = f"[{', '.join(quoted(h) for h, _ in headings)}][doc_id % {n} + 1]"
+    return (
+        f"SELECT doc_id, CASE doc_id // {n} % 3 WHEN 0 THEN head WHEN 1 THEN head || word || ' ' ELSE word || ' ' || head END AS heading "
+        f"FROM (SELECT doc_id, {head} AS head, coalesce({words('lower(text)')}[1], '') AS word FROM documents)"
+    )
+
+
 def golden(column: str, pairs: list[tuple[str, str]]) -> str:
     rows = ", ".join(f"({quoted(a)}, {quoted(b) if b is not None else 'NULL'})" for a, b in pairs)
     return f"SELECT {column}, label FROM (VALUES {rows}) AS t({column}, label)"
@@ -164,6 +195,6 @@ def by_queries(headings: list[tuple[str, str]], classes: list[tuple[str, str]],
         "node_catalog": TAGS + r"SELECT name || coalesce('_' || nullif(regexp_extract(tag, 'class=\"([^\"]*)\"', 1), ''), '') AS node, count(*) AS frequency FROM names GROUP BY 1",
         "attr_catalog": ATTRS,
         "count_histogram": TAGS + ", c AS (SELECT pages.page_id, count(name) AS elements FROM pages LEFT JOIN names ON names.page_id = pages.page_id AND name = 'p' GROUP BY 1) SELECT elements, count(*) AS documents FROM c GROUP BY 1",
-        "structural_labels": golden("heading", headings),
+        "structural_labels": heading_label(headed(headings)),
         "ams_env_labels": golden("class_attr", classes),
     }

@@ -95,7 +95,7 @@ def statements(found: DataFrame, discard_math: bool = False) -> DataFrame:
     env = F.when(F.col("has_markup"), labels.class_label("parent_class"))
     heading = F.when(prev != "", labels.structural_label(labels.heading_text("prev_heading")))
     named = opens.withColumn("env", env).withColumn("heading", F.when(F.col("env").isNull(), heading))
-    label = F.coalesce("special", F.when(~F.col("env").isin(labels.NOISY), F.col("env")), F.when(F.col("heading") != "other", F.col("heading")))
+    label = F.coalesce("special", F.when(~F.col("env").isin(*labels.NOISY), F.col("env")), F.when(F.col("heading") != "other", F.col("heading")))
     named = tokenized(named.withColumn("label", label).where("label is not null"))
     lexemes = F.filter(_lexemes(F.col("tokens"), F.col("math"), discard_math), lambda w: w != "")
     kept = named.where(~F.col("overflow")).withColumn("lexemes", lexemes).where(F.size("lexemes").between(LEAST_WORDS, MOST_WORDS))

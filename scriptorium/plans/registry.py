@@ -292,8 +292,14 @@ def language_gate(spark, sf_dir):
 
 @query
 def structural_labels(spark, sf_dir):
-    rows = spark.createDataFrame([(h,) for h, _ in HEADINGS], "heading string")
-    return rows.select("heading", labels.structural_label("heading").alias("label"))
+    """(doc_id, heading, label): by their id documents get a heading, alone or with their first word
+    behind or before it."""
+    n, word = len(HEADINGS), F.coalesce(F.element_at(F.slice(words(F.lower("text")), 1, 1), 1), F.lit(""))
+    head = F.element_at(F.array(*[F.lit(h) for h, _ in HEADINGS]), (F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(n)) + 1).cast("int"))
+    way = F.pmod(F.floor(F.coalesce("doc_id", F.lit(0)) / n), F.lit(3))
+    heading = F.when(way == 0, head).when(way == 1, F.concat(head, word, F.lit(" "))).otherwise(F.concat(word, F.lit(" "), head))
+    rows = documents(spark, sf_dir).select("doc_id", heading.alias("heading"))
+    return rows.select("doc_id", "heading", labels.structural_label("heading").alias("label"))
 
 
 @query

@@ -112,3 +112,9 @@ def test_stems():
 def test_paths(spark):
     assert one(spark, "abc", lexical.content_path(F.lit("proof"), "x")).startswith("proof/ba7816bf")
     assert column(spark, ["/a/b/0903.1000.html", "x"], lexical.file_label) == ["0903.1000", "x"]
+
+
+def test_headings_of_the_query(spark):
+    from scriptorium.plans.registry import HEADINGS
+
+    assert column(spark, [h for h, _ in HEADINGS], labels.structural_label) == [label for _, label in HEADINGS]

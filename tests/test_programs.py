@@ -161,3 +161,19 @@ def test_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns == ["word", "frequency"]
+
+
+def test_dictionary_of_any_ids(spark):
+    """Dense, negative and hashed ids."""
+    import random
+
+    from scriptorium.operators import ngrams
+
+    rng = random.Random(4)
+    ids = [-(2**63), -5, 0, 1, 2, 70_000, 2**40, 2**63 - 1] + [rng.randrange(-(2**63), 2**63) for _ in range(60)]
+    rows = [(i, p, f"w{rng.randrange(300)}") for i in ids for p in range(8)]
+    first = {}
+    for i, p, w in rows:
+        first[w] = min(first.get(w, (i, p)), (i, p))
+    got = {r.word: r.first_index for r in ngrams.dictionary(spark.createDataFrame(rows, "doc_id long, pos int, word string")).collect()}
+    assert got == {w: k + 1 for k, w in enumerate(sorted(first, key=first.get))}
