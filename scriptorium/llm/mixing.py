@@ -16,7 +16,8 @@ over the counts of documents by source and size, and a step that leaves the inte
 to hold the root is replaced by its middle.
 
 Rounding. Every document is taken floor(rate) times and some once more. How many of each
-size of a source is settled from the largest size down, carrying the rounding error along,
+size of a source is settled from the largest size down, carrying the rounding error along, and what
+is left is made up by one copy more or less of the largest documents that it covers,
 so that a source ends within about its smallest documents of the target; which of equal
 size is settled by a hash of id and text. Documents of one source and size are ranked in
 pieces, whose number grows with the rows, so a hot source or a large group of copies is never
@@ -132,17 +133,32 @@ def balanced(sources: DataFrame, sizes: DataFrame, tables: Tables) -> DataFrame:
 
 
 def _extra(sizes: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-    """How often all n documents of each size of a source are taken, and how many once more."""
+    """How often all n documents of each size of a source are taken, and how many once more: the
+    rate's two neighbours, or others where the source would miss its target."""
     sizes = sizes.sort_values("size", ascending=False)
-    due, bases, out = 0.0, [], []
-    for size, n, rate in zip(sizes["size"].tolist(), sizes["n"].tolist(), sizes["rate"].tolist()):
-        base = min(int(rate + 1e-9), int(CAP))
-        due += max(0.0, rate - base) * n * size
-        take = min(n, max(0, round(due / size))) if size and base < CAP else 0
-        due -= take * size
-        bases.append(base)
-        out.append(take)
-    return pd.DataFrame({"s": sizes["s"], "size": sizes["size"], "base": bases, "extra": out})
+    rows = list(zip(sizes["size"].tolist(), sizes["n"].tolist(), sizes["rate"].tolist()))
+    due, taken = 0.0, []
+    for size, n, rate in rows:
+        due += rate * n * size
+        low, high = _bounds(n, rate)
+        taken.append(min(high, max(low, round(due / size))) if size else 0)
+        due -= taken[-1] * size
+    for k, (size, n, rate) in enumerate(rows):
+        low, high = 0, n * int(CAP)
+        step = min(high, max(low, taken[k] + int(due / size))) - taken[k] if size else 0
+        nearer = step + (1 if due > 0 else -1)
+        if size and low <= taken[k] + nearer <= high and abs(due - nearer * size) < abs(due - step * size):
+            step = nearer
+        taken[k] += step
+        due -= step * size
+    counts = [n for _, n, _ in rows]
+    return pd.DataFrame({"s": sizes["s"], "size": sizes["size"], "base": [c // n for c, n in zip(taken, counts)], "extra": [c % n for c, n in zip(taken, counts)]})
+
+
+def _bounds(n: int, rate: float) -> tuple[int, int]:
+    """Times that n documents are taken together at the rate's neighbours."""
+    base = int(rate + 1e-9)
+    return n * min(int(CAP), base), n * min(int(CAP), base + 1)
 
 
 def mix(docs: DataFrame, tables: Tables | None = None, whole: bool = False) -> DataFrame:

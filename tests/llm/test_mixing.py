@@ -104,3 +104,23 @@ def test_stage_returns_a_corpus(clashing):
     assert out.columns == [*clashing.columns, "size", "source_size", "target", "copies", "taken"]
     key = lambda rows: sorted(str((r.doc_id, r.text, r["odd name.x"])) for r in rows)
     assert key(out.collect()) == key(clashing.collect())
+
+
+def test_no_single_copy_comes_nearer_to_the_target():
+    """However few documents a source has, one copy more or less of any size, from none to CAP a document,
+    would not meet the words due any better."""
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(9)
+    for _ in range(300):
+        sizes = sorted(rng.sample(range(1, 400), rng.randrange(3, 9)))
+        rate, n = [rng.uniform(0.2, 2.8) for _ in sizes], [rng.randrange(1, 4) for _ in sizes]
+        out = mixing._extra(pd.DataFrame({"s": "=a", "size": sizes, "n": n, "rate": rate})).sort_values("size")
+        copies = [b * m + e for b, e, m in zip(out["base"], out["extra"], n)]
+        assert all(0 <= c <= 3 * m for c, m in zip(copies, n)) and all(e < m for e, m in zip(out["extra"], n))
+        open_ = sum(r * m * k for r, m, k in zip(rate, n, sizes)) - sum(c * k for c, k in zip(copies, sizes))
+        for c, m, k in zip(copies, n, sizes):
+            if c < 3 * m if open_ > 0 else c > 0:
+                assert abs(open_) <= k / 2 + 1e-6
