@@ -61,7 +61,7 @@ def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
 
 
 def sentence_spans(text: str | None) -> list[tuple[int, int]]:
-    """(start, end) of every sentence."""
+    """(start, end) of every sentence. The rules and their order are fixed: they decide the results."""
     text = text or ""
     n, i, start = len(text), 0, 0
     memory: deque[str] = deque(maxlen=MEMORY)
