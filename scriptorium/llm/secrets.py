@@ -67,15 +67,17 @@ def with_blobs(docs: DataFrame, *keep: str) -> DataFrame:
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None, tables: Tables) -> DataFrame:
     """The ledger's new rows for versions (text, blob): unseen pairs of blob and RULE_VERSION.
 
-    Of each blob one text a task is shuffled, and one is scanned if the ledger lacks it."""
+    Of each unseen blob the text of its smallest doc_id is shuffled and scanned; rows that
+    repeat id and text are scanned once each, as one of them."""
     spark = versions.sparkSession
     arrow_limits(spark, 4)
-    texts = versions.groupBy("blob").agg(F.first("text").alias("text"))
+    unseen = versions.groupBy("blob").agg(F.min("_k").alias("_k"))
     if ledger is not None:
         done = ledger.where(F.col("rule_version") == RULE_VERSION).select("blob").distinct()
-        texts = texts.join(done, "blob", "left_anti")
+        unseen = unseen.join(done, "blob", "left_anti")
+    texts = versions.join(tables.write(unseen), ["_k", "blob"]).select("blob", "text")
     found = texts.mapInArrow(_scan_rows, "blob binary, spans array<struct<kind:string,start:int,end:int>>")
-    return tables.write(found.select("blob", F.lit(RULE_VERSION).alias("rule_version"), "spans"))
+    return tables.write(found.select("blob", F.lit(RULE_VERSION).alias("rule_version"), "spans").dropDuplicates(["blob"]))
 
 
 def findings(docs: DataFrame, ledger: DataFrame | None = None, tables: Tables | None = None, complete: bool = False) -> tuple[DataFrame, DataFrame]:
