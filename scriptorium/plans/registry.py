@@ -18,7 +18,7 @@ from ..operators.select import items, lifted
 from ..sources.readers import escaped, spread
 from ..sources.sinks import log_scatter
 from ..streaming import catalog as stream
-from . import declarations, oracles, programs
+from . import articles, declarations, oracles, programs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -340,3 +340,6 @@ def stream_unigram_counts(spark, sf_dir):
 
 
 ORACLES: dict[str, str] = oracles.by_queries(HEADINGS, CLASSES, ANCHOR, REACH)
+QUERIES |= articles.QUERIES
+ORACLES |= articles.oracles(*(ORACLES[k] for k in ("node_catalog", "unigram_counts", "token_model")))
+ORACLES["statement_paragraphs"] = articles.statements_sql(TITLES, ("introduction", "proof", "definition", "result", "other"))
