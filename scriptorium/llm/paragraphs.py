@@ -10,14 +10,15 @@ Two sorts of units are compared, by words as in ``decontaminate``:
 * Passages inside longer paragraphs: words are cut where a word pair's hash is the least
   within REACH words, which depends on nothing farther, so a copied passage is cut alike
   wherever it stands; a text's two ends cut as well, so pieces cover every word. Pieces that
-  stand at more than one place, of one document or more, are joined; consecutive ones of
-  PASSAGE_WORDS or more in all are a passage, and passages that share a piece are one
-  group. A copy of 50 words inside other words keeps 30 of them on average after what its edges lose.
+  stand at more than one place, of one document or more, are seeds where SEED_WORDS or more of
+  them are in a row; a row of pieces that stand earlier goes on word by word before and behind,
+  against the earlier copies of its first and last piece. What has PASSAGE_WORDS or more then is a
+  passage; passages are one group with those that hold their first copies.
 
 The first paragraph of a group (smallest doc_id, then a hash of the text, then place) is kept,
 the others are removals.
-Of passages those pieces are removals that stand earlier in the group, joined where they
-adjoin to PASSAGE_WORDS or more, so each removed piece has a kept copy.
+Of passages those words are removals that stand earlier in the group, so each removed word has
+a kept copy; two removals may overlap where both go on into what lies between them.
 
 Hot bands: bands of the same members are compared once; a band's classes meet in blocks of at
 most BLOCK on either side, and a block leaves a spanning forest of its links, never its pairs. Counts are combined before they are
@@ -48,6 +49,8 @@ from .simhash import _whole_groups, forest
 SIMILARITY = 0.8
 PARAGRAPH_WORDS, BANDS, ROWS = 20, 12, 3
 REACH, PASSAGE_WORDS = 5, 16
+#: Words of a run of shared pieces that is looked at: a piece between two cuts has as many.
+SEED_WORDS = REACH + 1
 BLOCK = 256
 #: Shingles that are compared at once.
 CHUNK = 1 << 20
@@ -255,9 +258,47 @@ def paragraph_groups(texts: DataFrame, tables: Tables, least: int = PARAGRAPH_WO
     return units.join(named, "h").select("_k", "_x", "at", "n", "g")
 
 
+def _beside_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words beside wanted pieces (list column of at, side), the nearest first: before one (side 0)
+    or behind it (side 1), as many as the neighbouring piece has and REACH more. A match that went
+    farther would have that piece's own cut, so that the piece would be shared too."""
+    for b in batches:
+        keys = _keys(b)
+        for i, (t, want) in enumerate(zip(_texts(b), b.column("want").to_pylist())):
+            h, _, _, _ = _words([t])
+            _, at, n, _ = pieces([t])
+            rows = []
+            for w in want:
+                k = int(np.searchsorted(at, w["at"]))
+                if w["side"]:
+                    end = int(at[k] + n[k])
+                    rows.append(h[end : end + (int(n[k + 1]) + REACH if k + 1 < len(n) else 0)])
+                else:
+                    rows.append(h[max(0, int(at[k]) - (int(n[k - 1]) if k else 0) - REACH) : at[k]][::-1])
+            own = [pa.array(np.full(len(want), key[i])) for key in keys]
+            places = [pa.array([w[c] for w in want], pa.int32()) for c in ("at", "side")]
+            yield pa.RecordBatch.from_arrays([*own, *places, pa.array([r.view(np.int64) for r in rows], pa.list_(pa.int64()))], ["_k", "_x", "at", "side", "w"])
+
+
+def _extended(texts: DataFrame, spans: DataFrame, tables: Tables) -> DataFrame:
+    """(id, span, before, behind): by how many words the match of each removed span goes on, word by
+    word, against the earlier copy of its first and of its last piece."""
+    ends = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"{c}.at").alias("at"), F.col(f"{c}.u").alias("u")) for k, c in enumerate("lr")])).alias("e")
+    ends = tables.write(spans.select("_k", "_x", "id", "span", ends).select("_k", "_x", "id", "span", "e.side", "e.at", F.col("e.u._k").alias("uk"), F.col("e.u._x").alias("ux"), F.col("e.u.at").alias("uat")))
+    mine, other = ends.select("_k", "_x", "at", "side"), ends.select(F.col("uk").alias("_k"), F.col("ux").alias("_x"), F.col("uat").alias("at"), "side")
+    want = mine.union(other).distinct().groupBy("_k", "_x").agg(F.collect_list(F.struct("at", "side")).alias("want"))
+    beside = texts.join(tables.write(want), ["_k", "_x"]).mapInArrow(_beside_rows, "_k long, _x long, at int, side int, w array<long>")
+    beside = tables.write(beside.dropDuplicates(["_k", "_x", "at", "side"]))
+    earlier = beside.select(F.col("_k").alias("uk"), F.col("_x").alias("ux"), F.col("at").alias("uat"), "side", F.col("w").alias("v"))
+    differ = F.array_position(F.zip_with("w", "v", lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    more = F.when(differ == 0, F.size("w")).otherwise(differ - 1).cast("int").alias("more")
+    met = ends.join(beside, ["_k", "_x", "at", "side"]).join(earlier, ["uk", "ux", "uat", "side"]).select("id", "span", "side", more)
+    of = lambda k, name: F.max(F.when(F.col("side") == k, F.col("more"))).alias(name)
+    return met.groupBy("id", "span").agg(of(0, "before"), of(1, "behind"))
+
+
 def passage_groups(texts: DataFrame, tables: Tables) -> DataFrame:
-    """(_k, _x, at, n, g, removed): passages whose pieces stand elsewhere too, cut where pieces
-    that stand earlier meet pieces that do not."""
+    """(_k, _x, at, n, g, removed): passages that stand earlier, to the word, and their first copies."""
     place = F.struct("_k", "_x", "at")
     rows = tables.write(texts.mapInArrow(_piece_rows, "_k long, _x long, at int, n int, h long"))
     shared = tables.write(rows.groupBy("h").agg(F.min(place).alias("u"), F.max(place).alias("v")).where("u < v").select("h"))
@@ -269,20 +310,29 @@ def passage_groups(texts: DataFrame, tables: Tables) -> DataFrame:
     new = F.coalesce((F.lag(F.col("at") + F.col("n")).over(by) < F.col("at")).cast("int"), F.lit(1))
     runs = met.dropDuplicates(["_k", "_x", "at"]).withColumn("run", F.sum(new).over(by))
     of_run = W.partitionBy("_k", "_x", "run")
-    runs = runs.select("_k", "_x", "h", "at", "n", F.min("at").over(of_run).alias("run"), F.sum("n").over(of_run).alias("all")).where(F.col("all") >= PASSAGE_WORDS)
+    runs = runs.select("_k", "_x", "h", "at", "n", F.min("at").over(of_run).alias("run"), F.sum("n").over(of_run).alias("all")).where(F.col("all") >= SEED_WORDS)
     runs = tables.write(runs.select("_k", "_x", "h", "at", "n", F.xxhash64(F.lit(2), "_k", "_x", "run").alias("id")))
-    first = tables.write(runs.groupBy("h").agg(F.min("id").alias("b"), F.max("id").alias("c"), F.min(place).alias("u")))
-    groups = connected_components(runs.join(first.where("b <> c"), "h").select(F.col("id").alias("a"), "b"), tables)
-    named = tables.write(runs.select("id").distinct().join(groups, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("g")))
+    tables.drop(met)
+    first = tables.write(runs.groupBy("h").agg(F.min(F.struct("_k", "_x", "at", "id")).alias("u"), F.max(place).alias("v")).where(F.struct("u._k", "u._x", "u.at") < F.col("v")).select("h", "u"))
     # Only a piece that stands earlier goes; what a run adds to the kept ones stays.
     by = W.partitionBy("id").orderBy("at")
-    later = runs.join(first.select("h", "u"), "h").join(named, "id").select("_k", "_x", "at", "n", "id", "g", (place > F.col("u")).alias("removed"))
-    turn = F.coalesce((F.lag("removed").over(by) != F.col("removed")).cast("int"), F.lit(1))
-    spans = later.withColumn("turn", turn).withColumn("span", F.sum("turn").over(by))
-    spans = tables.write(spans.groupBy("_k", "_x", "id", "g", "span", "removed").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n")))
-    # Pieces may lie in runs that are too short elsewhere: a run alone is no repeat.
-    repeat = tables.write(spans.where("removed").select("g").distinct())
-    return spans.join(repeat, "g").select("_k", "_x", "at", "n", "g", (F.col("removed") & (F.col("n") >= PASSAGE_WORDS)).alias("removed"))
+    later = tables.write(runs.join(first, "h").withColumn("removed", place > F.struct("u._k", "u._x", "u.at")))
+    tables.drop(runs)
+    turn = F.coalesce(((F.lag("removed").over(by) != F.col("removed")) | (F.lag(F.col("at") + F.col("n")).over(by) < F.col("at"))).cast("int"), F.lit(1))
+    later = tables.write(later.withColumn("turn", turn).withColumn("span", F.sum("turn").over(by)).drop("turn"))
+    end = F.struct("at", "u")
+    spans = tables.write(later.where("removed").groupBy("_k", "_x", "id", "span").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n"), F.min(end).alias("l"), F.max(end).alias("r")))
+    whole = spans.join(_extended(texts, spans, tables), ["id", "span"], "left").select(
+        "_k", "_x", "id", "span", (F.col("at") - F.coalesce("before", F.lit(0))).alias("at"), (F.col("n") + F.coalesce("before", F.lit(0)) + F.coalesce("behind", F.lit(0))).alias("n")
+    )
+    whole = tables.write(whole.where(F.col("n") >= PASSAGE_WORDS))
+    # Runs are one group where a passage of one has its first copy in the other.
+    gone = tables.write(later.join(whole.select("id", "span"), ["id", "span"], "left_semi").select("id", "h", F.col("u.id").alias("first")))
+    groups = connected_components(gone.select(F.col("id").alias("a"), F.col("first").alias("b")), tables)
+    kept = later.where("not removed").join(gone.select("h").distinct(), "h").groupBy("_k", "_x", "id", "span")
+    kept = kept.agg(F.min("at").alias("at"), (F.max(F.col("at") + F.col("n")) - F.min("at")).cast("int").alias("n"))
+    found = tables.write(whole.withColumn("removed", F.lit(True)).unionByName(kept.withColumn("removed", F.lit(False))))
+    return found.join(groups, F.col("id") == F.col("node"), "left").select("_k", "_x", "at", "n", F.coalesce("component", "id").alias("g"), "removed")
 
 
 def repeats(docs: DataFrame, tables: Tables | None = None, least: int = PARAGRAPH_WORDS) -> DataFrame:

@@ -18,3 +18,21 @@ def test_each_removed_word_has_a_kept_copy(spark):
     kept = {w for i, text, *_ in rows for j, w in enumerate(text.split()) if j not in cut.get(i, ())}
     assert set(" ".join([one, two, three, four]).split()) <= kept
     assert {2, 5, 6} <= set(cut) and min(len(cut[i]) for i in (2, 5)) > 200
+
+
+def test_passages_to_the_word(spark):
+    """Passages of 51 words in other surroundings are found and removed from their first word to their last."""
+    rng = random.Random(22)
+    text = lambda n: words(rng, n, 1_000_000)
+    passages = [text(51) for _ in range(400)]
+    rows, want = [], {}
+    for i, p in enumerate(passages + passages):
+        before = rng.randrange(0, 90)
+        rows.append((i, f"{text(before)} {p} {text(rng.randrange(0, 90))}".strip(), None, None, None))
+        want[i] = before
+    found = {(r.doc_id, r.first_word): r.n_words for r in paragraphs.repeats(spark.createDataFrame(rows, DOCS)).where("kind = 'passage' and removed").collect()}
+    assert set(found) <= {(i, want[i]) for i in range(400, 800)} and set(found.values()) == {51}
+    assert len(found) >= 396  # one of several hundred has no two cuts
+    firsts = {(i, want[i]) for i in range(400)}
+    kept = paragraphs.repeats(spark.createDataFrame(rows, DOCS)).where("kind = 'passage' and not removed").collect()
+    assert len(kept) == len(found) and all(any(r.doc_id == i and a <= r.first_word for i, a in firsts) for r in kept)
