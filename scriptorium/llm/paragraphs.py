@@ -110,13 +110,10 @@ def paragraphs(texts: list[bytes], least: int = PARAGRAPH_WORDS) -> tuple[np.nda
     return of[first], first - word0[of[first]], size, _sequence_hash(h, first, size), band_keys(h, first, size)
 
 
-def pieces(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of each piece between two cuts its text, first word, words and hash."""
-    h, of, _, _ = _words(texts)
-    if not len(h):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U))
-    if len(h) == 1:
-        return of, np.zeros(1, np.int64), np.ones(1, np.int64), _sequence_hash(h, np.zeros(1, np.int64), np.ones(1, np.int64))
+def _cut(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first word of each piece between two cuts, and the word behind it; ``of``: each word's text."""
+    if len(h) < 2:
+        return np.zeros(len(h), np.int64), np.ones(len(h), np.int64)
     pair = mixed(h[:-1] * U(3) + h[1:])
     pair = np.where(of[:-1] == of[1:], pair, U(2**64 - 1))
     gap = 2 * REACH
@@ -126,11 +123,33 @@ def pieces(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     least = np.lib.stride_tricks.sliding_window_view(wide, REACH).min(1)
     is_cut = (pair < least[place - REACH]) & (pair <= least[place + 1]) & (pair < U(2**64 - 1))
     a = np.union1d(np.flatnonzero(is_cut), _runs(of))  # a text's first word starts a piece
-    b = np.r_[a[1:], len(h)]
+    return a, np.r_[a[1:], len(h)]
+
+
+def pieces(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of each piece between two cuts its text, first word, words and hash."""
+    h, of, _, _ = _words(texts)
+    a, b = _cut(h, of)
     word0 = np.searchsorted(of, np.arange(len(texts)))
     return of[a], a - word0[of[a]], b - a, _sequence_hash(h, a, b - a)
 
 
+def beside(texts: list[bytes], text: np.ndarray, at: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words before pieces of some texts (or behind them), the nearest first, and how
+    many they are: as many as the neighbouring piece has, and as its far cut depends on beyond it. A
+    match that went farther would have that cut too, so that the piece would be shared."""
+    h, of, _, _ = _words(texts)
+    a, b = _cut(h, of)
+    word0, word1 = np.searchsorted(of, np.arange(len(texts))), np.searchsorted(of, np.arange(len(texts)), side="right")
+    k = np.searchsorted(a, word0[text] + at)
+    prev, after = np.maximum(k - 1, 0), np.minimum(k + 1, len(a) - 1)
+    low = np.maximum(a[prev] - REACH, word0[text])
+    high = np.minimum(b[after] + REACH + 1, word1[text])
+    size = np.where(behind, high - b[k], a[k] - low)
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return h[np.where(np.repeat(behind, size), np.repeat(b[k], size) + place, np.repeat(a[k], size) - 1 - place)], size
+
+
 def _texts(b: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
 
@@ -259,25 +278,19 @@ def paragraph_groups(texts: DataFrame, tables: Tables, least: int = PARAGRAPH_WO
 
 
 def _beside_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words beside wanted pieces (list column of at, side), the nearest first: before one (side 0)
-    or behind it (side 1), as many as the neighbouring piece has and REACH more. A match that went
-    farther would have that piece's own cut, so that the piece would be shared too."""
+    """The words beside wanted pieces (list column of at, side): before one (side 0) or behind it."""
     for b in batches:
-        keys = _keys(b)
-        for i, (t, want) in enumerate(zip(_texts(b), b.column("want").to_pylist())):
-            h, _, _, _ = _words([t])
-            _, at, n, _ = pieces([t])
-            rows = []
-            for w in want:
-                k = int(np.searchsorted(at, w["at"]))
-                if w["side"]:
-                    end = int(at[k] + n[k])
-                    rows.append(h[end : end + (int(n[k + 1]) + REACH if k + 1 < len(n) else 0)])
-                else:
-                    rows.append(h[max(0, int(at[k]) - (int(n[k - 1]) if k else 0) - REACH) : at[k]][::-1])
-            own = [pa.array(np.full(len(want), key[i])) for key in keys]
-            places = [pa.array([w[c] for w in want], pa.int32()) for c in ("at", "side")]
-            yield pa.RecordBatch.from_arrays([*own, *places, pa.array([r.view(np.int64) for r in rows], pa.list_(pa.int64()))], ["_k", "_x", "at", "side", "w"])
+        keys, texts, want = _keys(b), _texts(b), b.column("want")
+        times = want.value_lengths().to_numpy(zero_copy_only=False)
+        start = np.r_[0, np.cumsum(times)]
+        places = [want.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("at", "side")]
+        for part, first in _parts(texts):
+            own = slice(start[first], start[first + len(part)])
+            text = np.repeat(np.arange(len(part)), times[first : first + len(part)])
+            at, side = (p[own] for p in places)
+            h, size = beside(part, text, at, side == 1)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(k[first + text]) for k in keys), pa.array(at), pa.array(side), lists], ["_k", "_x", "at", "side", "w"])
 
 
 def _extended(texts: DataFrame, spans: DataFrame, tables: Tables) -> DataFrame:
@@ -316,10 +329,10 @@ def passage_groups(texts: DataFrame, tables: Tables) -> DataFrame:
     first = tables.write(runs.groupBy("h").agg(F.min(F.struct("_k", "_x", "at", "id")).alias("u"), F.max(place).alias("v")).where(F.struct("u._k", "u._x", "u.at") < F.col("v")).select("h", "u"))
     # Only a piece that stands earlier goes; what a run adds to the kept ones stays.
     by = W.partitionBy("id").orderBy("at")
-    later = tables.write(runs.join(first, "h").withColumn("removed", place > F.struct("u._k", "u._x", "u.at")))
-    tables.drop(runs)
+    later = runs.join(first, "h").withColumn("removed", place > F.struct("u._k", "u._x", "u.at"))
     turn = F.coalesce(((F.lag("removed").over(by) != F.col("removed")) | (F.lag(F.col("at") + F.col("n")).over(by) < F.col("at"))).cast("int"), F.lit(1))
     later = tables.write(later.withColumn("turn", turn).withColumn("span", F.sum("turn").over(by)).drop("turn"))
+    tables.drop(runs)
     end = F.struct("at", "u")
     spans = tables.write(later.where("removed").groupBy("_k", "_x", "id", "span").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n"), F.min(end).alias("l"), F.max(end).alias("r")))
     whole = spans.join(_extended(texts, spans, tables), ["id", "span"], "left").select(
@@ -331,7 +344,7 @@ def passage_groups(texts: DataFrame, tables: Tables) -> DataFrame:
     groups = connected_components(gone.select(F.col("id").alias("a"), F.col("first").alias("b")), tables)
     kept = later.where("not removed").join(gone.select("h").distinct(), "h").groupBy("_k", "_x", "id", "span")
     kept = kept.agg(F.min("at").alias("at"), (F.max(F.col("at") + F.col("n")) - F.min("at")).cast("int").alias("n"))
-    found = tables.write(whole.withColumn("removed", F.lit(True)).unionByName(kept.withColumn("removed", F.lit(False))))
+    found = whole.withColumn("removed", F.lit(True)).unionByName(kept.withColumn("removed", F.lit(False)))
     return found.join(groups, F.col("id") == F.col("node"), "left").select("_k", "_x", "at", "n", F.coalesce("component", "id").alias("g"), "removed")
 
 
