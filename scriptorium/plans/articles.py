@@ -10,16 +10,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import map_rows
 from ..functions.lexical import LANGUAGE_WORDS, words
 from ..functions.segment import sentence_rows
 from ..operators.dnm import Parameters, flat_text, flatten, serialize
 from ..operators.patterns import match_documents
-from ..operators.select import items, xpath_nodes
+from ..operators.select import items, items_of, xpath_nodes
 from ..sources import sinks
 from ..sources.dom import Node
 from ..sources.readers import escaped, map_documents, read_corpus, spread, token_model_lines
@@ -83,9 +83,8 @@ def _folder(spark: SparkSession) -> str:
 
 def article_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, part, item_seq, item_kind, plaintext) of what the selectors find in articles."""
-    docs = articles(_documents(spark, sf_dir))
-    each = [items(docs, kind).select("doc_id", F.lit(kind).alias("part"), F.col("item_seq").cast("long").alias("item_seq"), "item_kind", "plaintext") for kind in PARTS]
-    return reduce(DataFrame.union, each)
+    found = items_of(articles(_documents(spark, sf_dir)), PARTS)
+    return found.select("doc_id", "part", F.col("item_seq").cast("long").alias("item_seq"), "item_kind", "plaintext")
 
 
 def article_surroundings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +102,7 @@ def article_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, doc_id, text) of the nodes that paths select in articles."""
     docs = articles(_documents(spark, sf_dir))
     paths = ("//div[@class='ltx_keywords']", "/html/body/h2[1]", "//figure//*[contains(@class,'caption')]", "//*[local-name()='mi']")
-    return reduce(DataFrame.union, [xpath_nodes(docs, p).select(F.lit(p).alias("path"), "doc_id", "text") for p in paths])
+    return xpath_nodes(docs, *paths).select("path", "doc_id", "text")
 
 
 def canonical_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,12 +126,10 @@ def range_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plain_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): texts flattened to lower-case ASCII with single spaces."""
 
-    def each(batches):
-        for b in batches:
-            b["text"] = [flat_text(t or "", PLAIN).plaintext for t in b["text"]]
-            yield b
+    def each(doc_id: int, text: str | None) -> Iterator[tuple]:
+        yield doc_id, flat_text(text or "", PLAIN).plaintext
 
-    return _documents(spark, sf_dir).select("doc_id", "text").mapInPandas(each, "doc_id long, text string")
+    return map_rows(_documents(spark, sf_dir).select("doc_id", "text"), each, "doc_id long, text string")
 
 
 def _bare(docs: DataFrame) -> DataFrame:

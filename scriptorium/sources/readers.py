@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import map_rows
 from ..functions.lexical import rebuild_text
 from .dom import parse
 
@@ -77,12 +76,4 @@ def token_model_lines(spark: SparkSession, path: str, containing: str | None = "
 
 def map_documents(docs: DataFrame, each, schema: str) -> DataFrame:
     """Rows from any function of a document's tree: ``each(root, doc_id)`` yields tuples."""
-    names = [c.strip().split()[0] for c in schema.split(",")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [r for doc_id, html in zip(b["doc_id"].tolist(), b["html"].tolist()) for r in each(parse(html or ""), doc_id)]
-            if rows:
-                yield pd.DataFrame(rows, columns=names)
-
-    return docs.select("doc_id", "html").mapInPandas(run, schema)
+    return map_rows(docs.select("doc_id", "html"), lambda doc_id, html: each(parse(html or ""), doc_id), schema)
