@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, lexical
 from ..functions.lexical import words, words_and_punct
-from ..functions.segment import sentence_rows, sentences
-from ..functions.tagger import tag
+from ..functions.batches import map_rows
+from ..functions.segment import sentence_rows, sentence_spans, sentences
+from ..functions.tagger import tags
 from ..operators import ngrams as grams
 from ..operators.patterns import match_documents
 from ..operators.select import items, lifted
@@ -198,14 +200,12 @@ def word_report(spark, sf_dir):
 
 @query
 def pos_tag_counts(spark, sf_dir):
-    def each(batches):
-        import pandas as pd
+    def each(text):
+        text = text or ""
+        yield from Counter(pos for a, b in sentence_spans(text) for pos in tags(text[a:b])).items()
 
-        for b in batches:
-            yield pd.DataFrame({"pos": [pos for t in b["text"] for _, pos, _, _ in tag(t or "")]}, dtype=object)
-
-    rows = sentence_rows(documents(spark, sf_dir).select("doc_id", "text"), "text", "doc_id").select("text")
-    return grams.counts(rows.mapInPandas(each, "pos string"), "pos")
+    found = map_rows(documents(spark, sf_dir).select("text"), each, "pos string, n long")
+    return found.groupBy("pos").agg(F.sum("n").alias("frequency"))
 
 
 @query
