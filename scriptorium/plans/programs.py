@@ -188,11 +188,13 @@ def word_report(found: DataFrame) -> DataFrame:
     """(paragraphs, sentences, words, distinct_words) of items."""
     cut = found.select("plaintext", sentences("plaintext").alias("s"))
     each = F.transform("s", lambda s: F.substr("plaintext", s.start + 1, s.end - s.start))
-    tokens = cut.select(F.size("s").alias("n"), F.flatten(F.transform(each, lambda t: words(F.lower(t)))).alias("w"))
-    per_word = tokens.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("m")).agg(F.sum("m").alias("words"), F.count("*").alias("distinct_words"))
-    totals = tokens.agg(F.count("*").alias("paragraphs"), F.coalesce(F.sum("n"), F.lit(0)).alias("sentences"))
-    # Two rows of two numbers each.
-    return totals.crossJoin(per_word.select(F.coalesce("words", F.lit(0)).alias("words"), "distinct_words"))
+    # A null word for each paragraph holds the paragraph's sentences, so one pass counts all.
+    w = F.concat(F.array(F.lit(None).cast("string")), F.flatten(F.transform(each, lambda t: words(F.lower(t)))))
+    rows = cut.select(F.size("s").alias("n"), F.explode(w).alias("word"))
+    per_word = rows.groupBy("word").agg(F.count("*").alias("m"), F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("n"))
+    of = lambda test, c: F.coalesce(F.sum(F.when(test, F.col(c))), F.lit(0))
+    none = F.col("word").isNull()
+    return per_word.agg(of(none, "m").alias("paragraphs"), of(none, "n").alias("sentences"), of(~none, "m").alias("words"), F.count("word").alias("distinct_words"))
 
 
 def document_text(docs: DataFrame, parameters: Parameters = LATEXML) -> DataFrame:
