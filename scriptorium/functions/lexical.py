@@ -6,7 +6,7 @@ white space White_Space. Offsets, where any, count code points.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import STOPWORDS, TRANSLIT_MANY, TRANSLIT_ONE
@@ -31,6 +31,13 @@ def bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def once(rows: DataFrame, **values: Column) -> DataFrame:
+    """rows with columns that are computed once a row. Filters on a plain column are pushed below it,
+    where every use computes it anew; they stay above what is exploded."""
+    made = F.explode(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))).alias("_once")
+    return rows.select(*[c for c in rows.columns if c not in values], made).select("*", "_once.*").drop("_once")
+
+
 def words(text: Column | str) -> Column:
     return F.regexp_extract_all(col(text), F.lit(WORDS), F.lit(0))
 
@@ -57,7 +64,11 @@ def _lowered(word: Column, discard_punct: bool) -> Column:
 def normalize_lexeme(word: Column | str, discard_math: bool = False, discard_punct: bool = True, math: Column | None = None) -> Column:
     """The lexeme of a word: NUM, citationelement, a formula's lexemes (``math``, else
     mathformula) or the lower-cased word. Null where the word overflows."""
-    low = _lowered(col(word), discard_punct)
+    return lexeme(_lowered(col(word), discard_punct), discard_math, math)
+
+
+def lexeme(low: Column, discard_math: bool = False, math: Column | None = None) -> Column:
+    """The lexeme of a word that is lower-cased; it is used several times, so it should be a column."""
     formula = F.lit("") if discard_math else F.coalesce(math, F.lit("mathformula")) if math is not None else F.lit("mathformula")
     return (
         F.when(F.octet_length(low) > MOST_BYTES, F.lit(None).cast("string"))
@@ -68,6 +79,11 @@ def normalize_lexeme(word: Column | str, discard_math: bool = False, discard_pun
     )
 
 
+def lexemes(tokens: Column) -> Column:
+    """The lexemes of words without punctuation inside; each is lower-cased once."""
+    return F.transform(F.transform(tokens, lambda w: _lowered(w, True)), lambda w: lexeme(w))
+
+
 def lexematize_math(annotation: Column | str) -> Column:
     """A formula's lexeme annotation as space-separated lexemes, mathformula where it has none."""
     padded = F.regexp_replace(col(annotation), r"(\S+):(start|end)", r" $1_$2 ")
