@@ -53,3 +53,17 @@ def test_markers_for_reading(spark, tmp_path):
     sinks.write_matches(found, str(tmp_path / "out"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert len(lines) == 2 and all(x.startswith("<section>") for x in lines)
+
+
+def test_markers_before_a_last_long_number(spark, tmp_path):
+    """A last sentence that ends in a long number counts as SQL counts it."""
+    import duckdb
+
+    from scriptorium.plans import registry
+
+    rows = [(1, "it is one of two a. 4225571210290012"), (2, "of of. +1 (846) 555-8663"), (3, "a of b. Then of c"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.QUERIES["declaration_markers"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(map(tuple, found)) == sorted(con.execute(registry.ORACLES["declaration_markers"]).fetchall())

@@ -133,3 +133,12 @@ def test_tagger():
     assert [t[1] for t in tag("The red tiles are nicely cut.")] == ["DT", "NN", "NNS", "VBP", "RB", "NN", "."]
     tree = chunks(["DT", "NN", "IN", "DT", "NN", "VBZ"])
     assert [(c.label, c.start, c.end) for c in tree.children] == [("NP", 0, 4), ("VP", 5, 5)]
+
+
+def test_openers_of_a_rule():
+    """Words that a match can begin with; a rule that may begin with any word has none."""
+    from scriptorium.plans import articles, declarations, registry
+
+    assert PatternFile(articles.PATTERNS).openers("place") == {"of", "in"}
+    assert {"let", "Let", "for", "there"} <= PatternFile(declarations.SOURCE).openers("declaration")
+    assert PatternFile(registry.PATTERNS).openers("of phrase") is None
