@@ -7,10 +7,10 @@ from scriptorium.functions import batches
 from scriptorium.functions.segment import sentence_rows, sentence_spans, sentences
 from scriptorium.functions.tagger import tag, tags
 from scriptorium.operators.dnm import LATEXML, flatten, serialize
-from scriptorium.operators.patterns import match_documents
 from scriptorium.operators.select import items
-from scriptorium.plans import articles, declarations, programs, registry
+from scriptorium.plans import programs, registry
 from scriptorium.sources.dom import parse
+from scriptorium.sources.readers import read_corpus
 
 LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -66,3 +66,15 @@ def test_report_counts_in_one_pass(spark):
     found = spark.createDataFrame([("One two. The two",), ("...",), (None,)], "plaintext string")
     assert programs.word_report(found).collect() == [(3, 2, 4, 3)]
     assert programs.word_report(found.where("false")).collect() == [(0, 0, 0, 0)]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"{i}.html").write_text(f"<p>{i}</p>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        docs = read_corpus(spark, str(tmp_path))
+        assert docs.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        assert {r.html for r in docs.collect()} == {f"<p>{i}</p>" for i in range(60)} and docs.select("path").distinct().count() == 60
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
