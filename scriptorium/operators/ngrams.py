@@ -14,17 +14,58 @@ from ..functions.lexical import ALNUM, bound, col, ngrams
 
 #: Bits of an id by which ``dictionary`` counts at once.
 LEVEL = 16
+#: Bytes of text whose n-grams one task counts, and the buckets from which they are dealt out.
+TASK_BYTES, BUCKETS = 4 << 20, 1 << 20
 
 
 def counts(tokens: DataFrame, key: str, name: str = "frequency") -> DataFrame:
     return tokens.groupBy(key).agg(F.count("*").alias(name))
 
 
+def stretches(tokens: Column | str, n: int) -> Column:
+    """array of (bucket, run): tokens cut into runs, joined by a space, whose n-grams are those of the tokens.
+
+    Each n-gram's bucket comes from its longest token, the least by hash of equally long ones; neighbours with the
+    same one stay in one run. So an n-gram has the same bucket wherever it stands, and a token is in far fewer
+    runs than n-grams. Frequent tokens are short and seldom the longest.
+    """
+
+    def rank(w: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(w), 8) - F.shiftleft(F.least(F.octet_length(w), F.lit(127)).cast("long"), 56)
+
+    def cut(w: Column, least: Column) -> Column:
+        first = lambda i: (i == 0) | (F.get(least, i) != F.get(least, i - 1))
+        starts = F.filter(F.sequence(F.lit(0), F.size(least) - 1), first)
+        run = lambda s, end: F.array_join(F.slice(w, s + 1, end - s + n - 1), " ")
+        one = lambda at, s, i: F.struct(
+            F.pmod(F.get(least, s), F.lit(BUCKETS)).cast("int").alias("bucket"), run(s, F.coalesce(F.get(at, i + 1), F.size(least))).alias("run")
+        )
+        return bound(starts, lambda at: F.transform(at, lambda s, i: one(at, s, i)))
+
+    def each(w: Column) -> Column:
+        least = lambda r: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.least(*[F.get(r, i + k) for k in range(n)]))
+        found = bound(bound(F.transform(w, rank), least), lambda m: cut(w, m))
+        return F.when(F.size(w) >= n, found).otherwise(F.array().cast("array<struct<bucket:int,run:string>>"))
+
+    return bound(col(tokens), each)
+
+
 def ngram_counts(items: DataFrame, tokens: Column | str, n: int) -> DataFrame:
     """(ngram, frequency) of all runs of n tokens of an item."""
     return counts(items.select(F.explode(ngrams(tokens, n)).alias("ngram")), "ngram")
 
 
+def dealt_ngram_counts(items: DataFrame, tokens: Column | str, n: int, parts: int) -> DataFrame:
+    """As ngram_counts, for n > 1 and tokens that are not null and hold no space, as words.
+
+    Most n-grams of three tokens or more occur once, so partial counts save nothing and hold each token n times.
+    Runs of tokens are dealt out to ``parts`` tasks instead, each of which makes and counts all n-grams of its buckets.
+    """
+    dealt = items.select(F.inline(stretches(tokens, n))).repartition(parts, "bucket")
+    found = dealt.select("bucket", F.explode(ngrams(F.split("run", " "), n)).alias("ngram"))
+    return found.groupBy("bucket", "ngram").agg(F.count("*").alias("frequency")).drop("bucket")
+
+
 def dictionary(tokens: DataFrame, by: tuple[str, ...] = ("doc_id", "pos"), word: str = "word") -> DataFrame:
     """(word, first_index): words by the order of their first occurrence, from 1.
 

@@ -237,4 +237,8 @@ def document_vectors(docs: DataFrame, size: int = 32, window: int = 10, least: i
 
 def item_ngrams(found: DataFrame, n: int) -> DataFrame:
     """(ngram, frequency) of the lower-cased words of items."""
-    return grams.ngram_counts(found.select(words(F.lower("plaintext")).alias("w")), "w", n)
+    rows = found.select(words(F.lower("plaintext")).alias("w"))
+    if n < 3:  # these repeat, so partial counts are the smaller
+        return grams.ngram_counts(rows, "w", n)
+    size = found.agg(F.sum(F.octet_length("plaintext").cast("long"))).first()[0] or 0
+    return grams.dealt_ngram_counts(rows, "w", n, max(found.sparkSession.sparkContext.defaultParallelism, -(-size // grams.TASK_BYTES)))
